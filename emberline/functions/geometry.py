@@ -34,26 +34,33 @@ def to_wgs84(x: Column | str, y: Column | str) -> tuple[Column, Column]:
 
 
 def parse_wkt(wkt: Column | str) -> Column:
-    """POLYGON or MULTIPOLYGON text to the nested-array form; NULL for other text."""
+    """POLYGON or MULTIPOLYGON text to the nested-array form; NULL for other text.
+
+    Blanks and nested brackets are first reduced to single separators (``#``
+    between parts, ``;`` between rings), so that every split is on one character.
+    """
     text = F.trim(as_col(wkt))
     single = text.rlike(r"(?i)^POLYGON\b")
     multi = text.rlike(r"(?i)^MULTIPOLYGON\b")
     empty = text.rlike(r"(?i)\bEMPTY\s*$")
-    # Reduce both kinds to "ring),(ring)),((ring" with no outer brackets.
     inner = F.regexp_replace(text, r"^[A-Za-z\s]+", "")
-    inner = F.regexp_replace(inner, r"^[\s(]+|[\s)]+$", "")
+    inner = F.regexp_replace(inner, r"\s*([(),])\s*", "$1")
+    inner = F.regexp_replace(inner, r"\s+", " ")
+    inner = F.regexp_replace(inner, r"^\(+|\)+$", "")
+    inner = F.replace(inner, F.lit(")),(("), F.lit("#"))
+    inner = F.replace(inner, F.lit("),("), F.lit(";"))
 
     def vertex(pair: Column) -> Column:
-        xy = F.split(F.trim(pair), r"\s+")
+        xy = F.split(pair, " ")
         return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
 
     def ring(body: Column) -> Column:
         return F.transform(F.split(body, ","), vertex)
 
     def part(body: Column) -> Column:
-        return F.transform(F.split(body, r"\)\s*,\s*\("), ring)
+        return F.transform(F.split(body, ";"), ring)
 
-    parts = F.transform(F.split(inner, r"\)\s*\)\s*,\s*\(\s*\("), part)
+    parts = F.transform(F.split(inner, "#"), part)
     return F.when((single | multi) & ~empty, parts).when(
         single | multi, F.array().cast(GEOMETRY_TYPE)
     )
