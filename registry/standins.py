@@ -47,6 +47,7 @@ select concat('UP_', lpad(cast(3 + l_suppkey % 84 as string), 3, '0')) as unique
             when l_partkey % 3 = 0 then 'Bird' when l_partkey % 3 = 1 then 'Mammal' else 'Plant' end as broad_taxon,
        concat('sp ', cast(l_partkey % 300 as string)) as species,
        concat('eco ', cast(l_suppkey % 5 as string)) as ecosystem_group,
+       l_orderkey as order_key,
        l_orderkey * 8 + l_linenumber as row_ord
 from lineitem
 """
