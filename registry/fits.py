@@ -1,2 +1,175 @@
+"""Model fits and comparisons over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberline.functions import numeric
+from emberline.models import compare, grid
+from emberline.models import fit as models
+from emberline.operators import survey
+from emberline.operators.encode import Formula
+from emberline.plans import linkage
+from emberline.session import materialize, scratch_path
+from emberline.sources.tables import save_fit
+
+from .standins import table
+
 QUERIES = {}
-ORACLES = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _rounded(df, *cols, n=6):
+    return df.withColumns({c: numeric.round_even(c, n) for c in cols})
+
+
+def logit(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = table(spark, sf, "labels").join(docs, "doc_id").withColumn("size", F.log1p("n_chars") - 6)
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(50).collect()]
+    formula = Formula("quality", ["lang", "size"], {"lang": langs}, ("source",))
+    return models.fit(rows, formula, "bernoulli", keep=["doc_id"])
+
+
+@query
+def fit_logit(spark, sf):
+    return models.coef_table(logit(spark, sf))
+
+
+@query
+def ranef(spark, sf):
+    return models.ranef(logit(spark, sf), "source")
+
+
+@query
+def fit_negbin(spark, sf):
+    customers = table(spark, sf, "customer")
+    days = F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")) + 1
+    counts = (
+        table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+        .agg(F.count(F.lit(1)).alias("n"), F.ln(days.cast("double")).alias("log_days"))
+    )
+    rows = counts.join(customers, "c_custkey")
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    formula = Formula("n", ["c_mktsegment"], {"c_mktsegment": segments}, ("c_nationkey",), offset="log_days")
+    return models.coef_table(models.fit(rows, formula, "negbinomial", keep=["c_custkey"]))
+
+
+@query
+def fit_binom(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    rows = (
+        table(spark, sf, "lineitem").groupBy("l_partkey")
+        .agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count(F.lit(1)).alias("shipped"))
+        .join(parts, "l_partkey")
+        .withColumn("size", F.col("p_size") / 10 - 2.5)
+    )
+    formula = Formula("returned", ["size"], {}, ("p_brand",), trials="shipped")
+    return models.coef_table(models.fit(rows, formula, "binomial", models.Priors(b=1.0), keep=["l_partkey"], scale_tol=1e-2))
+
+
+@query
+def fit_gauss(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") / 10000).alias("price"), ((F.col("l_quantity") - 25) / 10).alias("quantity"), "l_suppkey"
+    )
+    formula = Formula("price", ["quantity"], {}, ("l_suppkey",), slopes={"l_suppkey": "quantity"})
+    state = models.fit(rows, formula, "gaussian", models.Priors(b=0.5, intercept=1.0, intercept_df=None), tol=1e-4, scale_tol=1e-3)
+    tables = save_fit(
+        {"coef": models.coef_table(state), "scales": models.scale_table(state)}, scratch_path(spark, "fit")
+    )
+    scales = tables["scales"].select(F.col("name").alias("term"), F.col("value").alias("estimate"))
+    return tables["coef"].unionByName(scales, allowMissingColumns=True)
+
+
+@query
+def loo_psis(spark, sf):
+    return compare.loo(models.pointwise(logit(spark, sf), "doc_id", 200))
+
+
+@query
+def ppc(spark, sf):
+    return compare.ppc(logit(spark, sf), "doc_id", 10)
+
+
+@query
+def model_grid(spark, sf):
+    """Three of the named models on the burnt presence table."""
+    from .queries import responses
+
+    clean = materialize(responses(spark, sf), "clean")
+    pa = survey.pa_table(survey.model_columns(clean))
+    rows, burnt = linkage.burnt_tables(pa, "pa")
+    tables = {"pa_all": rows, "pa_burnt": materialize(burnt, "burnt")}
+    specs = [grid.MODELS[n] for n in ("pa_m2", "pa_m3", "pa_m3_sens")]
+    return grid.run_grid(specs, tables, scratch_path(spark, "grid"), max_cycles=5, tol=1e-3, scale_tol=1e-1)
+
+
+def _draws(spark, sf, lo, n):
+    """Observation id and log likelihoods at draws lo .. lo + n - 1."""
+    part = F.slice("embedding", lo + 1, n)
+    ll = F.transform(part, lambda v: -F.abs(v.cast("double")))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("obs"), ll.alias("loglik"), "label")
+
+
+@query
+def posterior_summary(spark, sf):
+    df = table(spark, sf, "embeddings").select(F.col("label").alias("term"), F.explode("embedding").alias("v"))
+    df = df.select("term", F.col("v").cast("double").alias("value"))
+    return _rounded(compare.posterior_summary(df), "estimate", "est_error", "q2_5", "q97_5")
+
+
+@query
+def loo_is(spark, sf):
+    return _rounded(compare.loo(_draws(spark, sf, 0, 64), smooth=False), "elpd", "p_loo")
+
+
+@query
+def loo_compare(spark, sf):
+    scores = {
+        "a": compare.loo(_draws(spark, sf, 0, 32), smooth=False),
+        "b": compare.loo(_draws(spark, sf, 32, 32), smooth=False),
+    }
+    return _rounded(compare.loo_compare(scores), "elpd", "se", "elpd_diff", "se_diff")
+
+
+@query
+def bayes_r2(spark, sf):
+    df = table(spark, sf, "embeddings").select(
+        F.transform("embedding", lambda v: v.cast("double") * 10).alias("fitted"), F.col("label").alias("y")
+    )
+    return _rounded(compare.bayes_r2(df), "estimate", "est_error", "q2_5", "q97_5")
+
+
+_LONG = """long as (select vec_id as obs, label, generate_subscripts(embedding, 1) as pos, unnest(embedding) as v from embeddings),
+           ll as (select obs, pos, -abs(cast(v as double)) as v from long)"""
+
+
+def _score(name: str, where: str) -> str:
+    return f"""{name} as (select obs, -(ln(avg(exp(-v)))) as elpd, ln(avg(exp(v))) + ln(avg(exp(-v))) as p_loo from ll where {where} group by obs)"""
+
+
+ORACLES = {
+    "posterior_summary": """
+        with l as (select label as term, cast(unnest(embedding) as double) as v from embeddings)
+        select term, count(*) as n_draws, round_even(avg(v), 6) as estimate, round_even(stddev_samp(v), 6) as est_error,
+               round_even(quantile_cont(v, 0.025), 6) as q2_5, round_even(quantile_cont(v, 0.975), 6) as q97_5 from l group by 1""",
+    "loo_is": f"with {_LONG}, {_score('s', 'true')} select obs, round_even(elpd, 6) as elpd, round_even(p_loo, 6) as p_loo from s",
+    "loo_compare": f"""
+        with {_LONG}, {_score('a', 'pos <= 32')}, {_score('b', 'pos > 32')},
+        t as (select count(*) as n, sum(a.elpd) as sa, sum(b.elpd) as sb, stddev_samp(a.elpd) as da, stddev_samp(b.elpd) as db,
+                     stddev_samp(a.elpd - b.elpd) as dd from a join b using (obs))
+        select 'a' as model, round_even(sa, 6) as elpd, round_even(sqrt(n) * da, 6) as se, round_even(sa - greatest(sa, sb), 6) as elpd_diff,
+               round_even(case when sa >= sb then 0 else sqrt(n) * dd end, 6) as se_diff from t
+        union all select 'b', round_even(sb, 6), round_even(sqrt(n) * db, 6), round_even(sb - greatest(sa, sb), 6),
+               round_even(case when sa >= sb then sqrt(n) * dd else 0 end, 6) from t""",
+    "bayes_r2": """
+        with long as (select label as y, generate_subscripts(embedding, 1) as draw, cast(unnest(embedding) as double) * 10 as f from embeddings),
+        d as (select draw, var_samp(f) / (var_samp(f) + var_samp(y - f)) as v from long group by 1)
+        select 'R2' as term, count(*) as n_draws, round_even(avg(v), 6) as estimate, round_even(stddev_samp(v), 6) as est_error,
+               round_even(quantile_cont(v, 0.025), 6) as q2_5, round_even(quantile_cont(v, 0.975), 6) as q97_5 from d""",
+}
