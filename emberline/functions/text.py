@@ -30,13 +30,14 @@ def text_matches(c: Column | str, regex: str) -> Column:
 def number_text(c: Column | str) -> Column:
     """Shortest decimal text of a number: no trailing zeros, no bare point."""
     text = as_col(c).cast("decimal(28,12)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def n_decimals(c: Column | str) -> Column:
     """Digits after the decimal point as the number would be written; NULL gives 0."""
-    digits = F.length(F.regexp_extract(number_text(c), r"\.(\d+)$", 1))
-    return F.coalesce(digits, F.lit(0)).cast("int")
+    # The decimal text always has a point and twelve digits after it.
+    fraction = F.substring_index(as_col(c).cast("decimal(28,12)").cast("string"), ".", -1)
+    return F.coalesce(F.length(F.rtrim(fraction, F.lit("0"))), F.lit(0)).cast("int")
 
 
 def paste_key(*cols: Column | str, sep: str = KEY_SEPARATOR) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import left_on, ordered_levels
+from .relational import complete_cases, left_on, ordered_levels
 
 LUMP_MIN = 100
 REFERENCE_TAXON = "Bird"
@@ -79,7 +79,10 @@ def design_matrix(df: DataFrame, formula: Formula, keep: Sequence[str] = ()) ->
     and the group keys. Rows with a missing part are dropped."""
     terms = term_columns(formula)
     x = F.array(*[c for _, c in terms])
-    table = df.select(
+    # Tested on the source columns, so the filter reaches the scan.
+    parts = [p.strip() for t in formula.terms for p in t.split("*")]
+    used = [formula.response, *parts, formula.offset, formula.trials, *formula.groups]
+    return complete_cases(df, list(dict.fromkeys(c for c in used if c))).select(
         *keep,
         F.col(formula.response).cast("double").alias("y"),
         x.alias("x"),
@@ -87,11 +90,6 @@ def design_matrix(df: DataFrame, formula: Formula, keep: Sequence[str] = ()) ->
         (F.col(formula.trials) if formula.trials else F.lit(1.0)).cast("double").alias("trials"),
         *[F.col(g).cast("string").alias(f"g_{g}") for g in formula.groups],
     )
-    whole = F.col("y").isNotNull() & F.col("offset").isNotNull() & F.col("trials").isNotNull()
-    whole = whole & ~F.exists("x", lambda v: v.isNull())
-    for g in formula.groups:
-        whole = whole & F.col(f"g_{g}").isNotNull()
-    return table.filter(whole)
 
 
 def design_columns(df: DataFrame, formula: Formula, keep: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.conditional import as_col
 
 
+MAX_RULES = 10_000
+
+
 def derive(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     """Add columns in order; a later expression sees the earlier ones.
 
@@ -128,9 +131,11 @@ def join_metrics(obs: DataFrame, metrics: DataFrame, key: str = "fired_key") ->
 def join_rules(obs: DataFrame, rules: DataFrame, key: str = "unique_project_id") -> DataFrame:
     """Attach the project rules; projects without a rule keep NULLs.
 
-    The table has one short row per reviewed project; adaptive execution
-    broadcasts it after measuring it.
+    The rule table is counted first. Up to MAX_RULES rows it is broadcast, so the
+    wide survey rows are not shuffled for it; a larger one is joined by key.
     """
+    if rules.limit(MAX_RULES + 1).count() <= MAX_RULES:
+        rules = F.broadcast(rules)
     return obs.join(rules, key, "left")
 
 

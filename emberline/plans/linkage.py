@@ -28,12 +28,17 @@ class ModelTables:
 
 
 def clean_survey(obs: DataFrame, dates: bool = True) -> DataFrame:
-    """Dates, labels, precise coordinates, burn status and location key."""
+    """Dates, labels, precise coordinates, burn status and location key.
+
+    Stored, because the locations and the join-back both read it, and because
+    filters on the derived labels would otherwise repeat the text cleaning many
+    times per row when the optimizer pushes them down.
+    """
     if dates:
         obs = survey.clean_dates(obs)
     obs = survey.clean_labels(survey.fix_area(obs))
     obs = survey.with_burn_status(survey.coord_precision(obs))
-    return survey.with_location_key(obs)
+    return materialize(survey.with_location_key(obs), "survey")
 
 
 def polygons_in_season(polys: DataFrame, window: tuple[str, str] = WINDOW) -> DataFrame:

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods over 8000 bytes are never compiled by the JVM; splitting
+    # them is faster than interpreting one big one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,6 +32,13 @@ def build_session(app: str = "emberline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that somebody else made."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

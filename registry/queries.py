@@ -72,7 +72,8 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
         "fsr_km2_dy",
         F.when(F.col("poly_ord") % 5 != 0, F.col("dy_ar_km2")).alias("dy_ar_km2"),
     )
-    joined = rel.join_metrics(keyed(spark, sf), metrics, "order_key")
+    base = materialize(keyed(spark, sf), "survey")
+    joined = rel.join_metrics(base, metrics, "order_key")
     return survey.with_timing(survey.gate_measures(joined))
 
 
