@@ -12,6 +12,7 @@ from ..operators.aggregates import count_by, match_rate
 from ..operators.relational import join_metrics, join_rules, time_window
 from ..operators.spatial import burnt_locations, match_locations, prepare_polygons
 from ..session import materialize
+from ..sources.polygons import read_polygons
 
 # The study season, both days included.
 WINDOW = ("2019-06-01", "2020-05-31")
@@ -41,9 +42,16 @@ def clean_survey(obs: DataFrame, dates: bool = True) -> DataFrame:
     return materialize(survey.with_location_key(obs), "survey")
 
 
-def polygons_in_season(polys: DataFrame, window: tuple[str, str] = WINDOW) -> DataFrame:
-    """Polygons of the season. The filter comes first, so it reaches the scan."""
-    return prepare_polygons(time_window(polys, "date_day", *window))
+def polygons_in_season(
+    polys: DataFrame, window: tuple[str, str] = WINDOW, wkt_col: str = "wkt"
+) -> DataFrame:
+    """Polygons of the season, parsed and stored.
+
+    ``polys`` is the raw layer: filtering it before parsing lets the window reach
+    the scan.
+    """
+    season = time_window(polys, "date_day", *window)
+    return prepare_polygons(read_polygons(season, wkt_col))
 
 
 def match_survey(base: DataFrame, polys: DataFrame) -> DataFrame:

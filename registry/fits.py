@@ -98,14 +98,14 @@ def ppc(spark, sf):
 
 @query
 def model_grid(spark, sf):
-    """Three of the named models on the burnt presence table."""
+    """Two of the named models on the burnt presence table."""
     from .queries import responses
 
     clean = materialize(responses(spark, sf), "clean")
     pa = survey.pa_table(survey.model_columns(clean))
     rows, burnt = linkage.burnt_tables(pa, "pa")
     tables = {"pa_all": rows, "pa_burnt": materialize(burnt, "burnt")}
-    specs = [grid.MODELS[n] for n in ("pa_m2", "pa_m3", "pa_m3_sens")]
+    specs = [grid.MODELS[n] for n in ("pa_m2", "pa_m3_sens")]
     return grid.run_grid(specs, tables, scratch_path(spark, "grid"), max_cycles=5, tol=1e-3, scale_tol=1e-1)
 
 
