@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import token_counts, token_shards
+from . import embedding_dedup, mixing, simhash, token_counts, token_shards
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op6_simhash": simhash.op6_simhash,
+    "op8_mixing": mixing.op8_mixing,
     "op9_token_shards": token_shards.op9_token_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
+}
