@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,16 @@ def pack(ids: np.ndarray, starts: np.ndarray, doc_ids: list, levels: int = 16) -
     a = np.asarray(ids, np.uint16 if levels <= 16 else np.uint32)
     zeros, planes = [], []
     for level in range(levels):
-        bit = (a & (1 << (levels - 1 - level))).astype(bool)
+        bit = (a & a.dtype.type(1 << (levels - 1 - level))) != 0
         bits = np.packbits(bit, bitorder="little")
         words = np.frombuffer(bits.tobytes() + b"\0" * (-len(bits) % 64), np.uint64)
         ones = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
         rank = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
         planes += [squeeze(words.tobytes()), squeeze(rank.tobytes())]
-        low = a[~bit]
+        # By index: a mask of random bits is slow.
+        low = a[np.flatnonzero(~bit)]
         zeros.append(len(low))
-        a = np.concatenate([low, a[bit]])
+        a = np.concatenate([low, a[np.flatnonzero(bit)]])
     null = np.array([d is None for d in doc_ids], np.uint8)
     named = np.array([0 if d is None else d for d in doc_ids], np.int64)
     head = struct.pack("<QQQ", len(a), len(doc_ids), levels) + np.array(zeros, np.uint64).tobytes()
@@ -152,10 +154,10 @@ class Shard:
         """All ids in order, by undoing the levels from the last one up."""
         a = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in reversed(range(self.levels)):
-            bit = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             up, z = np.empty_like(a), self.zeros[level]
-            up[~bit] = a[:z]
-            up[bit] = a[z:] | a.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = a[:z]
+            up[np.flatnonzero(bit)] = a[z:] | a.dtype.type(1 << (self.levels - 1 - level))
             a = up
         return a
 
@@ -175,31 +177,32 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, lev
         from pyspark import TaskContext
 
         encoder, part, seq = Encoder.of(path), TaskContext.get().partitionId(), 0
-        kind = np.dtype("<u2") if levels <= 16 else np.dtype("<u4")
-        end = np.array([end_id], kind).tobytes()
-        keep = lambda ids: np.array(ids, kind).tobytes()
-        held, names, size = [], [], 0
+        kind, code = (np.dtype("<u2"), "H") if levels <= 16 else (np.dtype("<u4"), "I")
+        keep = lambda ids: array(code, ids).tobytes()
+        held, names, sizes = [], [], []
 
         def close():
-            nonlocal held, names, size, seq
-            starts = np.cumsum([0] + [len(x) // kind.itemsize for x in held])
-            data = pack(np.frombuffer(b"".join(held), kind), starts, names, levels)
+            nonlocal held, names, sizes, seq
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            data = pack(np.concatenate(held), starts, names, levels)
             row = [[part], [seq], [len(names)], [int(starts[-1])], [data]]
-            held, names, size, seq = [], [], 0, seq + 1
+            held, names, sizes, seq = [], [], [], seq + 1
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "seq", "n_docs", "n_ids", "file"])
 
         for whole in batches:
-            for batch in batches_by_bytes(whole, 1, 4_000_000):
-                texts = batch.column(1).to_pylist()
-                cut = [encoder.pieces(t) if t else [] for t in texts]
-                known = encoder.learn(set().union(*cut), keep)
-                for name, pieces in zip(batch.column(0).to_pylist(), cut, strict=True):
-                    held.append(b"".join(map(known.__getitem__, pieces)) + end)
-                    names.append(name)
-                    size += len(held[-1]) // kind.itemsize
-                    if size >= shard_ids:
-                        yield close()
+            for batch in batches_by_bytes(whole, 1, 4 * shard_ids):
+                values, index, at = encoder.values(batch.column(1), keep)
+                flat = np.frombuffer(b"".join(values), kind)
+                length = np.array([len(v) for v in values] or [0], np.int64) // kind.itemsize
+                first, n = np.cumsum(length) - length, length[index]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+                held.append(np.insert(ids, ends[at[1:]], end_id))
+                sizes.append(ends[at[1:]] - ends[at[:-1]] + 1)
+                names += batch.column(0).to_pylist()
+                if sum(map(len, held)) >= shard_ids:
+                    yield close()
         if names:
             yield close()
 
