@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, simhash, token_counts, token_shards
+from . import embedding_dedup, language, mixing, secrets, simhash, token_counts, token_shards, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op3_secrets": secrets.op3_secrets,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_language": language.op5_language,
     "op6_simhash": simhash.op6_simhash,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_shards": token_shards.op9_token_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_secrets": secrets.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
