@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language, mixing, secrets, simhash, token_counts, token_shards, toxicity
+from . import decontamination, embedding_dedup, language, mixing, secrets, simhash, token_counts, token_shards, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_shards": token_shards.op9_token_shards,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
