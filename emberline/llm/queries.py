@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, language, mixing, secrets, simhash, token_counts, token_shards, toxicity
+from . import decontamination, embedding_dedup, language, licenses, mixing, secrets, simhash, token_counts, token_shards, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op2_licenses": licenses.op2_licenses,
     "op3_secrets": secrets.op3_secrets,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_language": language.op5_language,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
