@@ -192,13 +192,14 @@ STAGE_MOST = 25
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = STAGE_RADIUS, most: int = STAGE_MOST) -> DataFrame:
-    """(id, k, component, n): for each id and text hash, the smallest id of its group of near copies and its number of rows.
+    """(id, k, component, kept): a row for each id and text hash; ``kept`` marks one of each group of near copies.
 
-    Equal texts are one vertex. Candidates are word fingerprints within
+    ``component`` is the smallest id of the group, NULL where none of its rows
+    has one; kept is the smallest id, then the smallest text hash. Equal texts
+    are one vertex. Candidates are fingerprints of the distinct words within
     ``radius`` bits; a candidate links if the 128-bit SimHash of its shingles of
     ``size`` words differs in at most ``most`` bits, which stands for a
-    similarity of 0.8 or more. NULL texts count as empty. NULL ids have the
-    smallest id of their group, NULL where it has none.
+    similarity of 0.8 or more. NULL texts count as empty.
     """
     ws = Workspace(docs.sparkSession, "near-copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -209,9 +210,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = covering_links(points, radius, ["w0", "w1"], most)
     labels = components(edges, ws).withColumnRenamed("id", "vertex")
     classes = points.join(labels, "vertex", "left").select("k", "least", F.coalesce("component", "vertex").alias("label"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    classes = classes.join(least, "label").select("k", "component")
-    return rows.groupBy("id", "k").agg(F.count(F.lit(1)).alias("n")).join(classes, "k").select("id", "k", "component", "n")
+    # NULL ids come after all others.
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k")).alias("first")
+    groups = classes.groupBy("label").agg(first).select("label", F.col("first.least").alias("component"), F.col("first.k").alias("chosen"))
+    classes = classes.join(groups, "label").select("k", "component", "chosen")
+    out = rows.select("id", "k").distinct().join(classes, "k")
+    return out.select("id", "k", "component", (F.col("id").eqNullSafe(F.col("component")) & (F.col("k") == F.col("chosen"))).alias("kept"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -124,11 +124,11 @@ def feature_table(docs: DataFrame, lexicon: dict[str, float], *extra: str) -> Da
             for batch in batches_by_bytes(whole, 0, 8_000_000):
                 x = features(batch.column(0), words)
                 rows = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows], [*extra, "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), rows], [*extra, "x"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in extra), "x array<double>"])
-    return docs.select("text", *extra).mapInArrow(run, schema)
+    return docs.select("text", *(c for c in extra if c != "text")).mapInArrow(run, schema)
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
