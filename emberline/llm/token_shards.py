@@ -115,7 +115,7 @@ class Shard:
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
         if not 0 <= token < 1 << self.levels:
             return 0, 0
-        ends = np.array([max(0, lo), min(hi, self.n)], np.int64)
+        ends = np.clip(np.array([lo, max(lo, hi)], np.int64), 0, self.n)
         for level in range(self.levels):
             one = self._rank1(level, ends)
             ends = self.zeros[level] + one if token >> (self.levels - 1 - level) & 1 else ends - one
