@@ -9,14 +9,34 @@ from pyspark.sql import functions as F
 
 from .conditional import as_col, case_when, if_else
 
-# Separators are made uniform first, so each order needs one pattern.
-ORDERS = {"mdy": "M-d-yyyy", "dmy": "d-M-yyyy", "ymd": "yyyy-M-d"}
+# Separators are made uniform and month names cut to three letters first.
+ORDERS = {
+    "mdy": ("M-d-yyyy", "MMM-d-yyyy", "M-d-yy", "MMM-d-yy", "MMddyyyy"),
+    "dmy": ("d-M-yyyy", "d-MMM-yyyy", "d-M-yy", "d-MMM-yy", "ddMMyyyy"),
+    "ymd": ("yyyy-M-d", "yyyy-MMM-d", "yyyyMMdd"),
+}
+# Two-digit years from here on belong to the last century.
+LAST_CENTURY = 69
 DEFAULT_ORDER = ("mdy", "dmy", "ymd")
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def _attempt(c: Column, order: str) -> Column:
-    uniform = F.regexp_replace(F.trim(c), r"[^0-9]+", "-")
-    return F.try_to_timestamp(uniform, F.lit(ORDERS[order])).cast("date")
+    uniform = F.regexp_replace(F.trim(c), r"[^0-9\p{L}]+", "-")
+    # "12th" is 12, "January" is Jan.
+    uniform = F.regexp_replace(uniform, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
+    uniform = F.initcap(F.regexp_replace(uniform, r"(\p{L}{3})\p{L}+", "$1"))
+    # "-jan-" after a digit is not a new word to initcap.
+    for month in MONTHS:
+        uniform = F.regexp_replace(uniform, f"(?i){month}", month)
+
+    def tried(pattern: str) -> Column:
+        day = F.try_to_timestamp(uniform, F.lit(pattern)).cast("date")
+        if "yyyy" in pattern:
+            return day
+        return F.when(F.year(day) % 100 >= LAST_CENTURY, F.add_months(day, -1200)).otherwise(day)
+
+    return F.coalesce(*[tried(p) for p in ORDERS[order]])
 
 
 def parse_date(c: Column | str, order: Sequence[str] = DEFAULT_ORDER) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import Z975
 from ..operators.encode import Formula, design_matrix, term_columns
-from ..session import materialize
+from ..session import discard, materialize
 from . import family as fam
 
 LEVEL, GRAM, SCALARS, MOVED = 0, 1, 2, 3
@@ -60,6 +60,7 @@ class Fit:
     converged: bool
     history: list[float] = field(default_factory=list)
     trace: dict[str, list[np.ndarray]] = field(default_factory=dict)
+    stored: dict[str | None, str] = field(default_factory=dict)
 
 
 def fit(
@@ -72,11 +73,13 @@ def fit(
     tol: float = 1e-6,
     scale_tol: float = 1e-4,
     design: DataFrame | None = None,
+    strict: bool = True,
 ) -> Fit:
     """Fit ``formula`` to ``df``. ``keep`` columns stay in the stored design.
 
     Stops when no coefficient moves by ``tol`` and no scale by a factor of more
-    than 1 + ``scale_tol``.
+    than 1 + ``scale_tol``. A fit that has not settled after ``max_cycles`` is an
+    error, or with ``strict`` off a result whose ``converged`` is false.
     """
     fam.check_family(family)
     priors = priors or Priors()
@@ -104,6 +107,8 @@ def fit(
         if all(m < tol and s < scale_tol for m, s in moves):
             state.converged = True
             break
+    if strict and not state.converged:
+        raise RuntimeError(f"{formula.response} did not settle in {max_cycles} cycles; last move {state.history[-1]:.3g}")
     return state
 
 
@@ -208,6 +213,10 @@ def _step(state: Fit, group: str | None, priors: Priors, center: np.ndarray) ->
     else:
         summed = summed.withColumn("u", F.lit(None).cast("array<double>"))
     summed = materialize(summed, "step")
+    # The step before this one was read for the last time.
+    if group in state.stored:
+        discard(state.design.sparkSession, state.stored[group])
+    state.stored[group] = summed.stored_at
 
     precision = np.linalg.inv(state.group_cov[group]) if q else np.zeros((0, 0))
 
@@ -404,7 +413,7 @@ def scale_table(state: Fit) -> DataFrame:
         rows.append(("shape", state.shape))
     if state.family == "gaussian":
         rows.append(("sigma", state.shape))
-    rows += [("gradient", state.gradient), ("steps", float(state.steps))]
+    rows += [("gradient", state.gradient), ("steps", float(state.steps)), ("converged", float(state.converged))]
     return state.design.sparkSession.createDataFrame(rows, "name string, value double")
 
 

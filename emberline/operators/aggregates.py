@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.conditional import as_col
 from ..functions.numeric import standardize, t975
-from .relational import asc, first_per, left_on
+from ..session import materialize
+from .relational import asc, attach, left_on
 
-EXACT_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
+# Ranges that the values of a quantile are cut into.
+RANGES = 256
 
 
 def n_distinct(c: Column | str) -> Column:
@@ -21,11 +23,6 @@ def n_distinct(c: Column | str) -> Column:
     return F.count_distinct(c) + F.max(c.isNull().cast("int"))
 
 
-def prevalence_of(c: Column | str) -> Column:
-    """Share of rows where the condition holds, among rows where it is known."""
-    return F.avg(as_col(c).cast("int"))
-
-
 def summary_all(df: DataFrame, spec: Mapping[str, Column]) -> DataFrame:
     """One row of named aggregates."""
     return df.agg(*[c.alias(n) for n, c in spec.items()])
@@ -56,9 +53,12 @@ def mean_var(df: DataFrame, col: str) -> DataFrame:
 
 
 def mean_ci(df: DataFrame, value: str, by: str | None = None, extremes: bool = False) -> DataFrame:
-    """n, mean, sd, standard error and 95 % t interval, per class or overall."""
+    """n, mean, sd, standard error and 95 % t interval, per class or overall.
+
+    Overall, n counts known values; per class it counts rows.
+    """
     aggs = [
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1) if by else value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("sd"),
     ]
@@ -79,107 +79,60 @@ def rank_classes(stat: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def quantile(
-    df: DataFrame,
-    value: str,
-    p: float,
-    by: str | None = None,
-    name: str = "q",
-    exact: bool = True,
-    exact_rows: int = EXACT_ROWS,
+    df: DataFrame, value: str, p: float, by: str | None = None, name: str = "q", exact: bool = True
 ) -> DataFrame:
-    """Interpolated quantile (linear between order statistics), per class or overall.
-
-    Exact by default. Up to ``exact_rows`` values per class the built-in
-    percentile is used. Beyond that its buffer of distinct values would not fit,
-    so a bounded sketch brackets the wanted rank, rows outside the bracket are
-    only counted, and the bracket is narrowed until it is small.
-    """
-    keys = [by] if by else []
-    data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    if not exact:
-        sketch = F.percentile_approx("v", p, SKETCH_ACCURACY)
-        return data.groupBy(*keys).agg(sketch.alias(name))
-    largest = data.groupBy(*keys).agg(F.count("v").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= exact_rows:
-        return data.groupBy(*keys).agg(F.percentile("v", p).alias(name))
-    return _bracketed_quantile(data, keys, p, name, exact_rows)
+    """Interpolated quantile (linear between order statistics), per class or overall."""
+    return quantiles(df, value, {name: p}, by, exact)
 
 
-def _bracketed_quantile(
-    data: DataFrame, keys: list[str], p: float, name: str, exact_rows: int
+def quantiles(
+    df: DataFrame, value: str, ps: Mapping[str, float], by: str | None = None, exact: bool = True
 ) -> DataFrame:
-    group = data if keys else data.withColumn("__all", F.lit(0))
-    keys = keys or ["__all"]
-    # below: rows known to lie under the bracket; n: all rows of the class.
-    state = group.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
-    inside = group
-    slack = 2.0 / SKETCH_ACCURACY
-    for _ in range(8):
-        inside = left_on(group, state, keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        counted = inside.groupBy(*keys).agg(
-            F.count("v").alias("m"), F.approx_count_distinct("v").alias("d")
-        )
-        below = (
-            left_on(group, state, keys)
-            .groupBy(*keys)
-            .agg(F.sum((F.col("v") < F.col("lo")).cast("long")).alias("below"))
-        )
-        widest = counted.agg(F.max(F.least("m", F.col("d") * 1.2))).first()[0] or 0
-        if widest <= exact_rows:
-            break
-        # Rank range of the wanted order statistics inside the present bracket,
-        # widened by the sketch's guaranteed rank error.
-        bounds = left_on(left_on(state, counted, keys), below, keys)
-        k = F.floor((F.col("n") - 1) * p)
-        low_p = F.greatest(F.lit(0.0), (k - F.col("below")) / F.col("m") - slack)
-        high_p = F.least(F.lit(1.0), (k + 2 - F.col("below")) / F.col("m") + slack)
-        # Only classes still too wide: at most rows / exact_rows of them.
-        wide = bounds.filter(F.col("m") > exact_rows)
-        targets = wide.select(*keys, low_p.alias("lp"), high_p.alias("hp")).collect()
-        pieces = None
-        for row in targets:
-            cond = F.lit(True)
-            for key in keys:
-                cond = cond & F.col(key).eqNullSafe(F.lit(row[key]))
-            piece = F.when(
-                cond, F.percentile_approx("v", [float(row["lp"]), float(row["hp"])], SKETCH_ACCURACY)
-            )
-            pieces = piece if pieces is None else F.coalesce(pieces, piece)
-        state = (
-            inside.groupBy(*keys)
-            .agg(pieces.alias("b"))
-            .transform(lambda found: left_on(state, found, keys))
-            .select(
-                *keys,
-                "n",
-                F.coalesce(F.col("b")[0], F.col("lo")).alias("lo"),
-                F.coalesce(F.col("b")[1], F.col("hi")).alias("hi"),
-            )
-        )
-    order = Window.partitionBy(*keys).orderBy("v")
-    ranked = (
-        inside.groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(order))
-    )
-    ranked = left_on(left_on(ranked, state.select(*keys, "n"), keys), below, keys)
-    rank = (F.col("n") - 1) * p
-    first, last = F.col("below") + F.col("upto") - F.col("c"), F.col("below") + F.col("upto") - 1
-
-    def at(k: Column) -> Column:
-        return F.max(F.when(k.between(first, last), F.col("v")))
+    """Several quantiles in the same passes, one column each.
 
-    out = ranked.groupBy(*keys).agg(
-        at(F.floor(rank)).alias("a"),
-        at(F.ceil(rank)).alias("b"),
-        F.max(rank - F.floor(rank)).alias("f"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
-    return out.select(*[c for c in keys if c != "__all"], value.alias(name))
+    Equal values are counted first. The values are cut into ranges at bounds from
+    a sketch; the sizes of the ranges tell which of them hold the wanted ranks,
+    and only those are put in order. No task orders more than about one range,
+    whatever the size of a class, and the result is exact. With ``exact`` off the
+    sketch alone answers.
+    """
+    keys = [by] if by else ["__all"]
+    v = F.col(value).cast("double").alias("v")
+    data = df.select(F.col(by) if by else F.lit(0).alias("__all"), v).filter(F.col("v").isNotNull())
+    out = [c for c in keys if c != "__all"]
+    if not exact:
+        found = data.groupBy(*keys).agg(*[F.percentile_approx("v", p, SKETCH_ACCURACY).alias(n) for n, p in ps.items()])
+        return found.select(*out, *ps)
+    counts = materialize(data.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")), "counts")
+    steps = [i / RANGES for i in range(1, RANGES)]
+    # One row of RANGES - 1 numbers.
+    bounds = counts.agg(F.percentile_approx("v", steps, SKETCH_ACCURACY).alias("b")).first()["b"]
+    cuts = F.array(*[F.lit(x) for x in sorted(set(bounds or [0.0]))])
+    ranged = counts.withColumn("__range", F.size(F.filter(cuts, lambda b: b <= F.col("v"))))
+    order = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = ranged.groupBy(*keys, "__range").agg(F.sum("c").alias("m"))
+    sizes = sizes.withColumns({"before": F.sum("m").over(order) - F.col("m"), "n": F.sum("m").over(Window.partitionBy(*keys))})
+    ranks = {n: (F.col("n") - 1) * F.lit(float(p)) for n, p in ps.items()}
+    ends = [k for r in ranks.values() for k in (F.floor(r), F.ceil(r))]
+    wanted = F.lit(False)
+    for k in ends:
+        wanted = wanted | k.between(F.col("before"), F.col("before") + F.col("m") - 1)
+    inside = left_on(ranged, sizes.filter(wanted).withColumn("__found", F.lit(True)), [*keys, "__range"]).filter("__found")
+    within = Window.partitionBy(*keys, "__range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("last", F.col("before") + F.sum("c").over(within) - 1)
+    first = F.col("last") - F.col("c") + 1
+    aggs = [F.max("n").alias("n")]
+    for i, r in enumerate(ranks.values()):
+        for side, k in (("a", F.floor(r)), ("b", F.ceil(r))):
+            aggs.append(F.max(F.when(k.between(first, F.col("last")), F.col("v"))).alias(f"{side}{i}"))
+    found = inside.groupBy(*keys).agg(*aggs)
+    values = [
+        F.when(F.ceil(r) == F.floor(r), F.col(f"a{i}"))
+        .otherwise((F.ceil(r) - r) * F.col(f"a{i}") + (r - F.floor(r)) * F.col(f"b{i}"))
+        .alias(n)
+        for i, (n, r) in enumerate(ranks.items())
+    ]
+    return found.select(*out, *values)
 
 
 def exceedance(df: DataFrame, value: str, p: float) -> DataFrame:
@@ -198,35 +151,41 @@ def exceedance(df: DataFrame, value: str, p: float) -> DataFrame:
 
 
 def five_number(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Least, quartiles, mean, greatest and missing count, one row per column."""
-    out = None
-    for c in cols:
-        v = F.col(c).cast("double")
-        base = df.agg(
-            F.min(v).alias("min"),
-            F.avg(v).alias("mean"),
-            F.max(v).alias("max"),
-            F.sum(v.isNull().cast("long")).alias("n_missing"),
-        )
-        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-            base = base.join(F.broadcast(quantile(df, c, p, name=name)))
-        row = base.select(
-            F.lit(c).alias("column_name"), "min", "q1", "median", "mean", "q3", "max", "n_missing"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Least, quartiles, mean, greatest and missing count, one row per column.
+
+    The columns are stacked, so all moments are one aggregation and all quartiles
+    share their passes.
+    """
+    entries = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols]
+    long = df.select(F.inline(F.array(*entries)))
+    base = long.groupBy("column_name").agg(
+        F.min("v").alias("min"),
+        F.avg("v").alias("mean"),
+        F.max("v").alias("max"),
+        F.sum(F.col("v").isNull().cast("long")).alias("n_missing"),
+    )
+    middle = quantiles(long, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "column_name")
+    return left_on(base, middle, ["column_name"]).select(
+        "column_name", "min", "q1", "median", "mean", "q3", "max", "n_missing"
+    )
 
 
 def group_profile(
     df: DataFrame, by: str, order: str, first: Mapping[str, str], value: str
 ) -> DataFrame:
-    """First values in row order, extremes of ``value`` and rows, per group."""
-    firsts = first_per(df, [by], [asc(order)], list(first))
-    firsts = firsts.withColumnsRenamed(dict(first))
-    stats = df.groupBy(by).agg(
-        F.min(value).alias("min_val"), F.max(value).alias("max_val"), F.count(F.lit(1)).alias("n")
+    """First values in row order, extremes of ``value`` and rows, per group: one aggregation."""
+    fields = [f.alias(f"o{i}") for i, f in enumerate(asc(order))]
+    row = F.struct(*[F.col(c).alias(n) for c, n in first.items()]).alias("row")
+    return (
+        df.groupBy(by)
+        .agg(
+            F.min(value).alias("min_val"),
+            F.max(value).alias("max_val"),
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct(*fields, row)).alias("best"),
+        )
+        .select(by, "min_val", "max_val", "n", "best.row.*")
     )
-    return left_on(stats, firsts, [by])
 
 
 def event_area(polys: DataFrame, area: str, key: str = "id") -> DataFrame:
@@ -263,7 +222,7 @@ def with_group_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
         F.avg(col).alias("mean_resp"),
         F.stddev_samp(col).alias("sd_resp"),
     )
-    return left_on(df, stats, list(by))
+    return attach(df, stats, list(by))
 
 
 def group_zscore(df: DataFrame, col: str, by: Sequence[str], name: str = "response_std") -> DataFrame:

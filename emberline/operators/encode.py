@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import complete_cases, left_on, ordered_levels
+from .relational import attach, complete_cases, ordered_levels
 
 LUMP_MIN = 100
 REFERENCE_TAXON = "Bird"
@@ -23,7 +23,7 @@ def lump_min(
     gathered in one task. A missing value stays missing.
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
-    out = left_on(df, counts, [col])
+    out = attach(df, counts, [col])
     lumped = F.when(F.col(col).isNotNull(), F.when(F.col("__n") < least, other).otherwise(F.col(col)))
     return out.withColumn(name or col, lumped).drop("__n")
 
@@ -76,13 +76,15 @@ def term_columns(formula: Formula) -> list[tuple[str, Column]]:
 
 def design_matrix(df: DataFrame, formula: Formula, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of the model: ``y``, ``x`` (one number per term), ``offset``, ``trials``
-    and the group keys. Rows with a missing part are dropped."""
+    and the group keys. Rows with a missing part, or with a category outside its
+    level list, are dropped: they belong to no level, not to the reference."""
     terms = term_columns(formula)
     x = F.array(*[c for _, c in terms])
     # Tested on the source columns, so the filter reaches the scan.
     parts = [p.strip() for t in formula.terms for p in t.split("*")]
     used = [formula.response, *parts, formula.offset, formula.trials, *formula.groups]
-    return complete_cases(df, list(dict.fromkeys(c for c in used if c))).select(
+    known = [F.col(p).isin(list(formula.levels[p])) for p in dict.fromkeys(parts) if p in formula.levels]
+    return complete_cases(df, list(dict.fromkeys(c for c in used if c)), *known).select(
         *keep,
         F.col(formula.response).cast("double").alias("y"),
         x.alias("x"),
@@ -90,8 +92,3 @@ def design_matrix(df: DataFrame, formula: Formula, keep: Sequence[str] = ()) ->
         (F.col(formula.trials) if formula.trials else F.lit(1.0)).cast("double").alias("trials"),
         *[F.col(g).cast("string").alias(f"g_{g}") for g in formula.groups],
     )
-
-
-def design_columns(df: DataFrame, formula: Formula, keep: Sequence[str] = ()) -> DataFrame:
-    """The design as ordinary named columns, for reading and checking."""
-    return df.select(*keep, *[c.alias(n) for n, c in term_columns(formula)])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditional import as_col
+from ..session import materialize
 
 
 MAX_RULES = 10_000
@@ -123,6 +124,17 @@ def left_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(renamed, cond, "left").drop(*[f"__{k}" for k in keys])
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of an aggregated table onto detail rows.
+
+    An aggregate is estimated as large as its input, so an unhinted join would
+    shuffle the detail rows by a key that may have three values. Stored first, it
+    has its real size: a small one is broadcast by the planner, a large one is
+    joined by key with skewed partitions split.
+    """
+    return left_on(df, materialize(stats, "stats"), keys)
+
+
 def join_metrics(obs: DataFrame, metrics: DataFrame, key: str = "fired_key") -> DataFrame:
     """Attach the match of each location to its survey rows."""
     return obs.join(metrics, key, "left")
@@ -150,12 +162,12 @@ def missing_rules(
 
 
 def event_area_join(points: DataFrame, areas: DataFrame, key: str = "id") -> DataFrame:
-    return points.join(areas, key, "left")
+    return attach(points, areas, [key])
 
 
 def join_class_stat(df: DataFrame, stat: DataFrame, key: str) -> DataFrame:
     """Attach a per-class statistic to the detail rows."""
-    return left_on(df, stat, [key])
+    return attach(df, stat, [key])
 
 
 def unmatched(points: DataFrame, matches: DataFrame, key: str = "fired_key") -> DataFrame:
@@ -199,7 +211,7 @@ def day_index(df: DataFrame, key: str, day: str, name: str = "day_index") -> Dat
 
     days = df.select(key, day).distinct()
     order = Window.partitionBy(key).orderBy(F.col(day).asc_nulls_last())
-    return left_on(df, days.withColumn(name, F.row_number().over(order)), [key, day])
+    return attach(df, days.withColumn(name, F.row_number().over(order)), [key, day])
 
 
 def ordered_levels(df: DataFrame, col: str, buckets: int = 256) -> DataFrame:

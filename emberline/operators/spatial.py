@@ -8,8 +8,9 @@ carries a ring, so vertex count does not matter, and the aggregate reuses the
 join's partitioning because all edges a point meets share its cell.
 
 Cell size grows in steps of four with the polygon's extent, which bounds the
-number of cells per edge whatever the size. Cells that hold very many points are
-salted.
+number of cells per edge whatever the size. Cells that hold very many points or
+edges are divided. Only ids go through the cell join; attributes join the pairs
+that are left.
 """
 
 from __future__ import annotations
@@ -19,21 +20,20 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import edge_crosses, edges, on_edge, poly_moments, segment_distance
 from ..session import materialize
-from .relational import asc, desc, distinct_keys, first_per, union_matches, unmatched
+from .relational import asc, desc, distinct_keys, first_per, unmatched
 
 CELL_M = 5000
 ROWS_PER_CELL = 4
 LEVEL_STEP = 4
 MAX_LEVEL = 8
-HOT_CELL_POINTS = 200_000
-HOT_CELLS = 1024
-SALTS = 64
+HOT_CELL_ROWS = 200_000
 NEAR_M = 1000
 
 POLYGON_FIELDS = ("date_day", "id", "did", "fsr_km2_dy", "dy_ar_km2", "poly_ord")
 BOX = ("xmin", "ymin", "xmax", "ymax")
 EDGE = ("x1", "y1", "x2", "y2")
 CELL = ("__lv", "__cx", "__cy")
+SALT = ("__sp", "__se")
 
 
 def growth_order() -> list[list[Column]]:
@@ -73,12 +73,14 @@ def _row(v: Column, cell_m: float, level: Column) -> Column:
 
 
 def _grid_join(
-    points: DataFrame, filed: DataFrame, key: str, cell_m: float, hot_points: int
+    points: DataFrame, filed: DataFrame, key: str, poly: str, cell_m: float, hot_rows: int
 ) -> DataFrame:
     """Pairs in which the point lies in the range an edge is filed for.
 
     ``filed`` has ``__lv`` and the range ``__x0 .. __x1``, ``__y0 .. __y1``. The cell
-    columns and the salt stay in the result for a following aggregate.
+    columns and the salts stay in the result for a following aggregate. A cell is
+    divided by its points into as many parts as ``hot_rows`` goes into them, and
+    likewise by its edges; all edges of one polygon stay in one part.
     """
     # At most MAX_LEVEL + 1 values reach the driver.
     levels = sorted(r["__lv"] for r in filed.select("__lv").distinct().collect()) or [0]
@@ -94,28 +96,26 @@ def _grid_join(
         "__cy",
         F.explode(F.sequence(_row(F.col("__y0"), cell_m, lv), _row(F.col("__y1"), cell_m, lv))),
     )
-    # Cells with very many points: at most HOT_CELLS rows, by construction.
-    hot = F.broadcast(
-        left.groupBy(*CELL)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > hot_points)
-        .orderBy(F.col("n").desc(), *CELL)
-        .limit(HOT_CELLS)
-        .select(*CELL, F.lit(True).alias("__hot"))
-    )
-    # Points are distinct locations, so a hash of the key spreads them evenly.
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
-    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    left = left.join(hot, list(CELL), "left").withColumn(
-        "__salt", F.when(F.col("__hot"), salt).otherwise(0)
-    )
-    right = right.join(hot, list(CELL), "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), every_salt).otherwise(F.array(F.lit(0))))
-    )
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        counted = side.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias(name))
+        return counted.filter(F.col(name) > 1)
+
+    # One row per cell with more than hot_rows rows on a side; mostly none.
+    hot = materialize(parts(left, "__kp").join(parts(right, "__ke"), list(CELL), "full"), "hot")
+    if hot.isEmpty():
+        left, right = (side.withColumns({"__sp": F.lit(0), "__se": F.lit(0)}) for side in (left, right))
+    else:
+        kp, ke = F.coalesce("__kp", F.lit(1)), F.coalesce("__ke", F.lit(1))
+        own = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+        left = left.join(hot, list(CELL), "left").withColumn("__sp", own(key, kp)).withColumn("__se", every(ke))
+        right = right.join(hot, list(CELL), "left").withColumn("__se", own(poly, ke)).withColumn("__sp", every(kp))
+        left, right = left.drop("__kp", "__ke"), right.drop("__kp", "__ke")
     met = F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(
         F.col("__y0"), F.col("__y1")
     )
-    return left.drop("__hot").join(right.drop("__hot"), [*CELL, "__salt"]).filter(met)
+    return left.join(right, [*CELL, *SALT]).filter(met)
 
 
 def pip_join(
@@ -123,14 +123,15 @@ def pip_join(
     polys: DataFrame,
     key: str = "fired_key",
     cell_m: float = CELL_M,
-    hot_points: int = HOT_CELL_POINTS,
+    hot_rows: int = HOT_CELL_ROWS,
+    poly: str = "poly_ord",
 ) -> DataFrame:
     """Every (point, polygon) pair where the closed polygon contains the point.
 
     ``points`` has ``key``, ``x``, ``y`` and one row per location; ``polys`` comes
-    from ``prepare_polygons`` and its attributes include a unique one. Both are
-    read more than once, so pass stored tables. The result has the key and the
-    polygon's attributes, without geometry.
+    from ``prepare_polygons`` and ``poly`` is its unique column, the only one that
+    goes through the cell join. Both are read more than once, so pass stored
+    tables. The result has the key and the polygon's attributes, without geometry.
     """
     attrs = [c for c in polys.columns if c not in ("geom", "sides", *BOX)]
     level = _level(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), cell_m)
@@ -138,9 +139,9 @@ def pip_join(
     # right of it, and a point left of the polygon needs none.
     filed = (
         polys.select(
-            *attrs, level.alias("__lv"), F.col("xmin").alias("__x0"), F.explode("sides").alias("e")
+            poly, level.alias("__lv"), F.col("xmin").alias("__x0"), F.explode("sides").alias("e")
         )
-        .select(*attrs, "__lv", "__x0", "e.*")
+        .select(poly, "__lv", "__x0", "e.*")
         .withColumns(
             {
                 "__x1": F.greatest("x1", "x2"),
@@ -149,16 +150,17 @@ def pip_join(
             }
         )
     )
-    met = _grid_join(points.select(key, "x", "y"), filed, key, cell_m, hot_points)
+    met = _grid_join(points.select(key, "x", "y"), filed, key, poly, cell_m, hot_rows)
     args = [F.col(c) for c in (*EDGE, "x", "y")]
-    return (
+    pairs = (
         met.withColumns({"__cross": edge_crosses(*args), "__on": on_edge(*args)})
         .filter(F.col("__cross") | F.col("__on"))
-        .groupBy(*CELL, "__salt", key, *attrs)
+        .groupBy(*CELL, *SALT, key, poly)
         .agg(F.sum(F.col("__cross").cast("int")).alias("__n"), F.max("__on").alias("__on"))
         .filter((F.col("__n") % 2 == 1) | F.col("__on"))
-        .select(key, *attrs)
+        .select(key, poly)
     )
+    return pairs.join(polys.select(*attrs), poly).select(key, *attrs)
 
 
 def pip_best(pairs: DataFrame, key: str = "fired_key") -> DataFrame:
@@ -184,7 +186,8 @@ def nearest_within(
     max_m: float = NEAR_M,
     key: str = "fired_key",
     cell_m: float = CELL_M,
-    hot_points: int = HOT_CELL_POINTS,
+    hot_rows: int = HOT_CELL_ROWS,
+    poly: str = "poly_ord",
 ) -> DataFrame:
     """Nearest polygon outline no farther than ``max_m``, with its distance.
 
@@ -196,8 +199,8 @@ def nearest_within(
     attrs = [c for c in POLYGON_FIELDS if c in polys.columns]
     pad = float(max_m)
     filed = (
-        polys.select(*attrs, F.explode("sides").alias("e"))
-        .select(*attrs, "e.*")
+        polys.select(poly, F.explode("sides").alias("e"))
+        .select(poly, "e.*")
         .withColumns(
             {
                 "__x0": F.least("x1", "x2") - pad,
@@ -209,9 +212,11 @@ def nearest_within(
     )
     width, height = F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")
     filed = filed.withColumn("__lv", _level(width, height, cell_m))
-    near = _grid_join(points.select(key, "x", "y"), filed, key, cell_m, hot_points)
+    near = _grid_join(points.select(key, "x", "y"), filed, key, poly, cell_m, hot_rows)
     distance = segment_distance(*[F.col(c) for c in (*EDGE, "x", "y")])
     near = near.withColumn("nearest_dist_m", distance).filter(F.col("nearest_dist_m") <= max_m)
+    near = near.groupBy(*CELL, *SALT, key, poly).agg(F.min("nearest_dist_m").alias("nearest_dist_m"))
+    near = near.select(key, poly, "nearest_dist_m").join(polys.select(*attrs), poly)
     best = first_per(
         near, [key], [asc("nearest_dist_m"), *polygon_order()], [*POLYGON_FIELDS, "nearest_dist_m"]
     )
@@ -228,7 +233,7 @@ def recover_near(
 ) -> DataFrame:
     """``nearest_within`` for the locations no polygon contains."""
     if exact is None:
-        exact = first_burn(points, polys, key)
+        exact = first_burn(points, polys, key, **how)
     rest = materialize(unmatched(points, exact, key).select(key, "x", "y"), "unmatched")
     return nearest_within(rest, polys, max_m, key, **how)
 
@@ -237,7 +242,8 @@ def match_locations(points: DataFrame, polys: DataFrame, max_m: float = NEAR_M)
     """Containing polygon where there is one, else the nearest within ``max_m``."""
     exact = materialize(first_burn(points, polys), "exact")
     near = recover_near(points, polys, max_m, exact=exact)
-    return union_matches(exact, near)
+    # Disjoint by the anti join, so there is nothing to choose between.
+    return exact.unionByName(near, allowMissingColumns=True)
 
 
 def _as_metrics(best: DataFrame, key: str, match_type: str, *extra: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..functions.conditional import (
     limit_levels,
     positive_or_one,
 )
-from ..functions.dates import clamp_days, days_since, parse_date, timing_class
+from ..functions.dates import DEFAULT_ORDER, clamp_days, days_since, parse_date, timing_class
 from ..functions.numeric import is_whole, round_even, safe_log, safe_log1p
 from ..functions.text import lower, n_decimals, number_text, paste_key, safe_num, squish, text_matches
 from .aggregates import zscore
@@ -80,8 +82,9 @@ SCALED = {
 }
 
 
-def clean_dates(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: parse_date(c) for c in ("date_survey", "date_previous_record")})
+def clean_dates(df: DataFrame, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
+    """Both date columns parsed; ``order`` may come from ``dates.trained_order``."""
+    return df.withColumns({c: parse_date(c, order) for c in ("date_survey", "date_previous_record")})
 
 
 def fix_area(df: DataFrame) -> DataFrame:

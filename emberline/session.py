@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,9 @@ SETTINGS = {
 }
 
 
+_folders: dict[str, str] = {}
+
+
 def build_session(app: str = "emberline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` overrides or adds to them."""
     builder = SparkSession.builder.appName(app)
@@ -29,7 +33,9 @@ def build_session(app: str = "emberline", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -56,9 +62,36 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="emberline-ship-")
+    archive = os.path.join(folder, "emberline.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for at, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    # Served to the executors by the driver; the folder is not read by them.
+    spark.sparkContext.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{work_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in this session's own folder, which is deleted when the session's JVM ends."""
+    folder = _folders.get(spark.sparkContext.applicationId)
+    if folder is None:
+        folder = f"{work_dir(spark)}/emberline-{uuid.uuid4().hex[:12]}"
+        _folders[spark.sparkContext.applicationId] = folder
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -70,4 +103,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out

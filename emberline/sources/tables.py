@@ -19,12 +19,12 @@ def syntactic(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]+", "_", name.strip()).lower()
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     header = spark.read.option("header", True).csv(path).columns
     by_name = {f.name: f.dataType for f in schema.fields}
-    unknown = [h for h in header if syntactic(h) not in by_name]
     # The file's own column order decides positions; types come from the schema.
+    # A column the schema does not name is kept as text.
     declared = T.StructType(
         [T.StructField(h, by_name.get(syntactic(h), T.StringType())) for h in header]
     )
@@ -33,10 +33,10 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
         .option("header", True)
         .option("nullValue", NULL_TEXT)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .csv(path)
     )
-    df = df.toDF(*[syntactic(h) for h in header]).drop(*[syntactic(h) for h in unknown])
+    df = df.toDF(*[syntactic(h) for h in header])
     # Blank text counts as missing, and NaN as missing, from here on.
     fixes = {
         f.name: F.nullif(F.col(f.name), F.lit(""))
@@ -48,9 +48,13 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return df.withColumns(fixes)
 
 
-def read_survey(spark: SparkSession, path: str, schema: str = SURVEY_SCHEMA) -> DataFrame:
-    """Wide survey CSV with declared types; ``NA`` and blank text are NULL."""
-    return _read_csv(spark, path, schema)
+def read_survey(spark: SparkSession, path: str, schema: str = SURVEY_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """Wide survey CSV with declared types; ``NA`` and blank text are NULL.
+
+    Quoted text may hold line breaks. A file known to have none can be read with
+    ``multi_line`` off, which lets Spark split it.
+    """
+    return _read_csv(spark, path, schema, multi_line)
 
 
 def read_derived(

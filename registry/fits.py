@@ -30,8 +30,7 @@ def _rounded(df, *cols, n=6):
 def logit(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     rows = table(spark, sf, "labels").join(docs, "doc_id").withColumn("size", F.log1p("n_chars") - 6)
-    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(50).collect()]
-    formula = Formula("quality", ["lang", "size"], {"lang": langs}, ("source",))
+    formula = grid.resolve_levels(Formula("quality", ["lang", "size"], {"lang": ()}, ("source",)), docs)
     return models.fit(rows, formula, "bernoulli", keep=["doc_id"])
 
 
@@ -69,7 +68,7 @@ def fit_binom(spark, sf):
         .withColumn("size", F.col("p_size") / 10 - 2.5)
     )
     formula = Formula("returned", ["size"], {}, ("p_brand",), trials="shipped")
-    return models.coef_table(models.fit(rows, formula, "binomial", models.Priors(b=1.0), keep=["l_partkey"], scale_tol=1e-2))
+    return models.coef_table(models.fit(rows, formula, "binomial", models.Priors(b=1.0), keep=["l_partkey"]))
 
 
 @query
@@ -78,7 +77,7 @@ def fit_gauss(spark, sf):
         (F.col("l_extendedprice") / 10000).alias("price"), ((F.col("l_quantity") - 25) / 10).alias("quantity"), "l_suppkey"
     )
     formula = Formula("price", ["quantity"], {}, ("l_suppkey",), slopes={"l_suppkey": "quantity"})
-    state = models.fit(rows, formula, "gaussian", models.Priors(b=0.5, intercept=1.0, intercept_df=None), tol=1e-4, scale_tol=1e-3)
+    state = models.fit(rows, formula, "gaussian", models.Priors(b=0.5, intercept=1.0, intercept_df=None))
     tables = save_fit(
         {"coef": models.coef_table(state), "scales": models.scale_table(state)}, scratch_path(spark, "fit")
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from emberline.functions.numeric import T975, Z975
-from emberline.sources.rules import rule_rows
+from emberline.sources.rules import PROJECT_RULES
 
 from .standins import FIRES, OBS, POLYS
 
@@ -25,7 +25,7 @@ STAGES = {
     "polys": POLYS,
     "fires": FIRES,
     "rules": "select * from (values "
-    + ", ".join("(" + ", ".join(_value(v) for v in row) + ")" for row in rule_rows())
+    + ", ".join("(" + ", ".join(_value(v) for v in row) + ")" for row in PROJECT_RULES)
     + ") as t(unique_project_id, include_pa, include_abundance, effort_variable, effort_use_type, response_type)",
     "lab": f"select *, {SQUISH.format(c='before_after')} as before_after_clean, "
     f"{SQUISH.format(c='burnt_unburnt')} as burnt_unburnt_clean from obs",
@@ -228,7 +228,9 @@ def design_sql() -> str:
     return with_stages(
         "obs",
         "select row_ord, response_value as y, " + ", ".join(f"{c} as x{i}" for i, c in enumerate(cols))
-        + " from obs where response_value is not null and fire_severity is not null and unburnt5 is not null and ecosystem_group is not null",
+        + " from obs where response_value is not null and unburnt5 is not null and fire_severity in ("
+        + ", ".join(f"'{s}'" for s in ["Low (burnt understory, unburnt canopy)", *sev])
+        + ") and ecosystem_group in ('eco 0', 'eco 1', 'eco 2', 'eco 3', 'eco 4')",
     )
 
 

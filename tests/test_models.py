@@ -93,7 +93,7 @@ def test_binomial_trials_and_slopes_run(spark):
     df = frame(spark).withColumn("t", F.lit(3)).withColumn("hits", F.col("y") * 2)
     f = m.fit(df, Formula("hits", ["x"], groups=("g",), trials="t"), "binomial", scale_tol=0.01)
     assert f.gradient < 1e-4
-    s = m.fit(df, Formula("x", ["y"], groups=("g",), slopes={"g": "y"}), "gaussian", max_cycles=6)
+    s = m.fit(df, Formula("x", ["y"], groups=("g",), slopes={"g": "y"}), "gaussian", max_cycles=6, strict=False)
     assert len(m.ranef(s, "g").collect()) == 24
     assert "cor(g)" in {r["name"] for r in m.scale_table(s).collect()}
 
@@ -147,6 +147,6 @@ def test_grid_names_and_reuse(spark, tmp_path):
     assert grid.MODELS["pa_m7"].formula.terms[-3:] == ["days_since_fire_z*broad_taxon", "log_effort_pa_z", "log_effort2_pa_z"]
     spec = grid.ModelSpec("tiny", "t", Formula("y", ["x"], groups=("g",)), "bernoulli", m.Priors())
     out = str(tmp_path / "grid")
-    first = grid.run_grid([spec], {"t": frame(spark)}, out, max_cycles=2).count()
-    again = grid.run_grid([spec], {"t": frame(spark)}, out, max_cycles=2).count()
+    first = grid.run_grid([spec], {"t": frame(spark)}, out, max_cycles=2, strict=False).count()
+    again = grid.run_grid([spec], {"t": frame(spark)}, out, max_cycles=2, strict=False).count()
     assert first == again == 5

@@ -142,11 +142,11 @@ def test_joins_equal_brute_force_over_mixed_sizes(spark, hot):
     xy += [rng.choice(rng.choice(rings)) for _ in range(60)]
     polys = layer(spark, rows)
     pts = points(spark, xy).dropDuplicates(["fired_key"])
-    got = {(r["fired_key"], r["poly_ord"]) for r in spatial.pip_join(pts, polys, hot_points=hot).collect()}
+    got = {(r["fired_key"], r["poly_ord"]) for r in spatial.pip_join(pts, polys, hot_rows=hot).collect()}
     want = {(f"p{i}", j) for i, (x, y) in enumerate(xy) for j, ring in enumerate(rings) if covers(ring, x, y)}
     assert got == want
     inside = {k for k, _ in want}
-    near = {r["fired_key"]: r["nearest_dist_m"] for r in spatial.recover_near(pts, polys, hot_points=hot).collect()}
+    near = {r["fired_key"]: r["nearest_dist_m"] for r in spatial.recover_near(pts, polys, hot_rows=hot).collect()}
     for i, (x, y) in enumerate(xy):
         key = f"p{i}"
         if key in inside:

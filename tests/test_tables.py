@@ -23,14 +23,15 @@ def test_rule_counts(spark):
 
 
 @pytest.mark.parametrize("by", [None, "k"])
-@pytest.mark.parametrize("exact_rows", [50, 10**6])
-def test_quantile_equals_numpy(spark, by, exact_rows):
+@pytest.mark.parametrize("ranges", [3, 256])
+def test_quantile_equals_numpy(spark, monkeypatch, by, ranges):
+    monkeypatch.setattr(agg, "RANGES", ranges)
     rng = random.Random(1)
     rows = [(f"k{i % 3}", rng.choice([rng.gauss(0, 100), 5.0, rng.expovariate(0.001)])) for i in range(30000)]
     rows += [("k0", None)] * 10
     df = spark.createDataFrame(rows, "k string, v double")
     for p in (0.0, 0.25, 0.97, 1.0):
-        got = {(r["k"] if by else None): r["q"] for r in agg.quantile(df, "v", p, by, exact_rows=exact_rows).collect()}
+        got = {(r["k"] if by else None): r["q"] for r in agg.quantile(df, "v", p, by).collect()}
         for k in {r[0] for r in rows} if by else [None]:
             vals = [v for kk, v in rows if v is not None and (k is None or kk == k)]
             assert got[k] == pytest.approx(np.quantile(vals, p), rel=1e-12)
