@@ -39,7 +39,9 @@ WORD = "[A-Za-z0-9+/_=-]{6,}"
 TRAIN_DOCS = 2_000
 CLASSES = 63
 
-_NONE = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
+
+def no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
 
 
 def spans(text: Column, pattern: str, group: int) -> tuple[Column, Column]:
@@ -54,7 +56,7 @@ def spans(text: Column, pattern: str, group: int) -> tuple[Column, Column]:
 def placed(gaps: str, hits: str) -> Column:
     """Spans (start, stop, value) in code points from what ``spans`` gave."""
     pairs = F.arrays_zip(F.slice(F.col(gaps), F.lit(1), F.size(hits)).alias("gap"), F.col(hits).alias("hit"))
-    first = F.struct(F.lit(0).alias("at"), _NONE.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
     def step(s, x):
         start = s["at"] + F.length(x["gap"])
@@ -62,7 +64,7 @@ def placed(gaps: str, hits: str) -> Column:
         one = F.struct(start.alias("start"), stop.alias("stop"), x["hit"]["value"].alias("value"))
         return F.struct(stop.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.when(F.col(hits).isNull(), _NONE).otherwise(F.aggregate(pairs, first, step, lambda s: s["out"]))
+    return F.when(F.col(hits).isNull(), no_spans()).otherwise(F.aggregate(pairs, first, step, lambda s: s["out"]))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
