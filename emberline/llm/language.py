@@ -44,24 +44,31 @@ _LETTER = _is_letter()
 def presence(texts: list[str]) -> np.ndarray:
     """0/1 rows of hashed n-grams of lower-case letters; anything else is a space."""
     out = np.zeros((len(texts), BINS), np.uint8)
-    parts, rows = [], []
+    parts, rows, own = [], [], []
+    pad = " " * max(GRAMS)
     for k, text in enumerate(texts):
+        text = text.lower()
         for at in range(0, max(1, len(text)), PART):
-            parts.append(text[at : at + PART + max(GRAMS)].lower())
+            parts.append(text[at : at + PART + len(pad)])
             rows.append(k)
-    pad = " " * max(GRAMS)
+            # n-grams that begin in the overlap belong to the next part.
+            own.append(PART if at + PART < len(text) else len(parts[-1]) + len(pad))
     codes = np.frombuffer((pad.join(parts) + pad).encode("utf-32-le"), np.uint32)
-    row = np.repeat(np.array(rows), [len(p) + len(pad) for p in parts])
+    size = np.array([len(p) + len(pad) for p in parts])
+    row = np.repeat(np.array(rows), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    mine = place < np.repeat(np.array(own), size)
     known = np.minimum(codes, 0x2FFF)
     codes = np.where(_LETTER[known] | (codes >= 0x3000), codes, np.uint32(32))
     n = len(codes) - max(GRAMS)
-    inside = row[:n] * BINS
+    mine = np.flatnonzero(mine[:n])
+    inside = row[mine] * BINS
     hashed = np.zeros(n, np.uint32)
     flat = out.reshape(-1)
     for k in GRAMS:
         hashed = (hashed + codes[k - 1 : k - 1 + n]) * _MULTIPLIERS[k - 1]
         hashed ^= hashed >> np.uint32(15)
-        flat[inside + (hashed & np.uint32(BINS - 1))] = 1
+        flat[inside + (hashed[mine] & np.uint32(BINS - 1))] = 1
     return out
 
 
