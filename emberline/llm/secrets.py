@@ -2,7 +2,7 @@
 
 Two first-order models over 63 classes of characters are trained from labelled
 samples: random strings (what the fixed patterns find, and digests) and ordinary
-identifiers (the words of the same documents outside these spans). A run of key
+identifiers (the shorter words of the same documents outside these spans). A run of key
 characters is added as a secret where the log-likelihood ratio of the two models
 passes the threshold and no fixed pattern has it. Ratios are whole thousandths,
 so sums do not depend on order.
@@ -38,6 +38,8 @@ WORD = "[A-Za-z0-9+/_=-]{6,}"
 #: Documents to train from (expected number).
 TRAIN_DOCS = 2_000
 CLASSES = 63
+#: Weight of a class's own frequency where a pair was rarely seen.
+PRIOR = 5
 
 
 def no_spans() -> Column:
@@ -110,15 +112,20 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[int]:
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), r"[\r\n]", ""))
     random = sample.select(F.lit(1).alias("random"), F.explode(F.concat(values, made)).alias("word"))
-    ordinary = sample.select(F.lit(0).alias("random"), F.explode(F.regexp_extract_all(outside(F.col("text")), F.lit(WORD), F.lit(0))).alias("word"))
+    # Runs long enough to be judged are no evidence for what is ordinary.
+    words = F.filter(F.regexp_extract_all(outside(F.col("text")), F.lit(WORD), F.lit(0)), lambda w: F.length(w) < RUN_LEAST)
+    ordinary = sample.select(F.lit(0).alias("random"), F.explode(words).alias("word"))
     pairs = random.unionByName(ordinary).select("random", F.explode(pairs_of(F.col("word"))).alias("pair"))
     # At most 63 x 63 rows for each class.
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = []
-    total = {(k, a): sum(counts.get((k, a * CLASSES + b), 0) for b in range(CLASSES)) for k in (0, 1) for a in range(CLASSES)}
+    first = {(k, a): sum(counts.get((k, a * CLASSES + b), 0) for b in range(CLASSES)) for k in (0, 1) for a in range(CLASSES)}
+    second = {(k, b): sum(counts.get((k, a * CLASSES + b), 0) for a in range(CLASSES)) for k in (0, 1) for b in range(CLASSES)}
+    every = {k: sum(first[k, a] for a in range(CLASSES)) for k in (0, 1)}
     for a in range(CLASSES):
         for b in range(CLASSES):
-            p = [(counts.get((k, a * CLASSES + b), 0) + 1) / (total[k, a] + CLASSES) for k in (0, 1)]
+            alone = [(second[k, b] + 0.5) / (every[k] + 0.5 * CLASSES) for k in (0, 1)]
+            p = [(counts.get((k, a * CLASSES + b), 0) + PRIOR * alone[k]) / (first[k, a] + PRIOR) for k in (0, 1)]
             out.append(math.floor(1000 * (math.log(p[1]) - math.log(p[0])) + 0.5))
     return out
 
@@ -195,16 +202,23 @@ def _sql() -> str:
       select 1 as random, value as word from base semi join picked using (row)
       union all select 1, sha256(cast(doc_id as varchar)) from picked
       union all select 1, to_base64(unhex(sha256(cast(doc_id as varchar)))) from picked
-      union all select 0, unnest(regexp_extract_all({cut}, '{WORD}', 0)) from picked),
+      union all select 0, unnest(list_filter(regexp_extract_all({cut}, '{WORD}', 0), lambda w: length(w) < {RUN_LEAST})) from picked),
     coded as (select random, list_transform(list_transform(string_split(word, ''), lambda x: ascii(x)), lambda c: {cls}) as c from words where length(word) > 1),
     pairs as (select random, unnest(list_transform(range(1, len(c)), lambda i: c[i] * {CLASSES} + c[i + 1])) as pair from coded),
     counts as (select random, pair, count(*) as n from pairs group by all),
-    totals as (select random, pair // {CLASSES} as a, sum(n) as n from counts group by all),
+    firsts as (select random, pair // {CLASSES} as a, sum(n) as n from counts group by all),
+    seconds as (select random, pair % {CLASSES} as b, sum(n) as n from counts group by all),
+    every as (select k as random, coalesce(sum(n), 0) as n from (values (0), (1)) v(k) left join counts on random = k group by k),
+    alone as (
+      select e.random, b, (coalesce(s.n, 0) + 0.5::double) / (e.n + 0.5::double * {CLASSES}) as p
+      from every e cross join (select unnest(range({CLASSES})) as b) left join seconds s using (random, b)),
+    chance as (
+      select a.random, p.pair, (coalesce(c.n, 0) + {PRIOR} * a.p) / (coalesce(f.n, 0) + {PRIOR}) as p
+      from (select unnest(range({CLASSES * CLASSES})) as pair) p join alone a on a.b = p.pair % {CLASSES}
+      left join counts c on c.random = a.random and c.pair = p.pair left join firsts f on f.random = a.random and f.a = p.pair // {CLASSES}),
     grid as (
-      select p.pair, floor(1000 * (ln((coalesce(r.n, 0) + 1) / (coalesce(rt.n, 0) + {CLASSES})) - ln((coalesce(o.n, 0) + 1) / (coalesce(ot.n, 0) + {CLASSES}))) + 0.5) as ratio
-      from (select unnest(range({CLASSES * CLASSES})) as pair) p
-      left join counts r on r.pair = p.pair and r.random = 1 left join counts o on o.pair = p.pair and o.random = 0
-      left join totals rt on rt.a = p.pair // {CLASSES} and rt.random = 1 left join totals ot on ot.a = p.pair // {CLASSES} and ot.random = 0),
+      select pair, floor(1000 * (ln(r.p) - ln(o.p)) + 0.5) as ratio
+      from chance r join chance o using (pair) where r.random = 1 and o.random = 0),
     runs as (select row, start, stop, value, row_number() over () as run from run_span),
     run_coded as (select run, list_transform(list_transform(string_split(value, ''), lambda x: ascii(x)), lambda c: {cls}) as c from runs),
     run_pairs as (select run, unnest(list_transform(range(1, len(c)), lambda i: c[i] * {CLASSES} + c[i + 1])) as pair from run_coded),
