@@ -105,7 +105,7 @@ def model_grid(spark, sf):
     rows, burnt = linkage.burnt_tables(pa, "pa")
     tables = {"pa_all": rows, "pa_burnt": materialize(burnt, "burnt")}
     specs = [grid.MODELS[n] for n in ("pa_m2", "pa_m3_sens")]
-    return grid.run_grid(specs, tables, scratch_path(spark, "grid"), max_cycles=5, tol=1e-3, scale_tol=1e-1)
+    return grid.run_grid(specs, tables, scratch_path(spark, "grid"), max_cycles=5, tol=1e-3, scale_tol=1e-1, strict=False)
 
 
 def _draws(spark, sf, lo, n):
