@@ -26,6 +26,7 @@ from ..functions.numeric import Z975
 from ..operators.encode import Formula, design_matrix, term_columns
 from ..session import discard, materialize
 from . import family as fam
+from .special import normal
 
 LEVEL, GRAM, SCALARS, MOVED = 0, 1, 2, 3
 SMALLEST_SCALE = 1e-3
@@ -140,15 +141,47 @@ def with_effects(design: DataFrame, state: Fit) -> DataFrame:
     broadcasts a small table after measuring it and splits a skewed join.
     """
     total = F.lit(0.0)
+    levels, spreads = [], []
     for g, table in state.effects.items():
-        effect = table.select(F.col("level").alias(f"g_{g}"), F.col("u").alias(f"u_{g}"))
+        effect = table.select(F.col("level").alias(f"g_{g}"), F.col("u").alias(f"u_{g}"), F.col("se").alias(f"se_{g}"))
         design = design.join(effect, f"g_{g}", "left")
         u = F.col(f"u_{g}")
+        levels.append(F.xxhash64(F.lit(g), F.col(f"g_{g}")))
+        spreads += [F.coalesce(F.col(f"se_{g}")[i], F.lit(0.0)) for i in range(_width(state.formula, g))]
         total = total + F.coalesce(u[0], F.lit(0.0))
         at = _slope_index(state.formula, state.terms, g)
         if at is not None:
             total = total + F.coalesce(u[1], F.lit(0.0)) * F.col("x")[at]
-    return design.withColumn("re", total)
+    # Keys and standard errors of the row's effects, for draws of them.
+    listed = lambda cols, kind: F.array(*cols).cast(kind) if cols else F.array().cast(kind)
+    return design.withColumns(
+        {"re": total, "levels": listed(levels, "array<bigint>"), "spreads": listed(spreads, "array<double>")}
+    )
+
+
+def effect_slopes(state: Fit) -> list[int | None]:
+    """For each group effect of a row the column of ``x`` it multiplies, None for an intercept."""
+    out = []
+    for g in state.effects:
+        out += [None] if _width(state.formula, g) == 1 else [None, _slope_index(state.formula, state.terms, g)]
+    return out
+
+
+def effect_noise(batch: pa.RecordBatch, x: np.ndarray, slopes: list[int | None], draw: int, seed: int) -> np.ndarray:
+    """What one draw of the group effects adds to their mode: normal with the effect's
+    standard error, the same for all rows of a level, on every retry and in any batch."""
+    out = np.zeros(len(x))
+    if not slopes:
+        return out
+    get = lambda name: batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+    spreads = get("spreads").reshape(len(x), -1)
+    levels = get("levels").reshape(len(x), -1)
+    group = -1
+    for i, at in enumerate(slopes):
+        group += at is None
+        z = normal(levels[:, group] + (i << 20), draw, seed) * spreads[:, i]
+        out += z if at is None else z * x[:, at]
+    return out
 
 
 def batch_arrays(batch: pa.RecordBatch, p: int):
@@ -447,10 +480,11 @@ def draws_table(state: Fit, n: int, seed: int = 123) -> DataFrame:
 def pointwise(state: Fit, obs_id: str, n_draws: int = 200, seed: int = 123) -> DataFrame:
     """Per row: the id, log likelihood per draw, expected response per draw, and y.
 
-    Draws stay in one array per row; rows are never multiplied by draws.
+    Draws stay in one array per row; rows are never multiplied by draws. Group
+    effects are drawn too, each from its own normal approximation.
     """
     betas, p = draw_betas(state, n_draws, seed), len(state.terms)
-    family, shape = state.family, state.shape
+    family, shape, slopes = state.family, state.shape, effect_slopes(state)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,6 +492,8 @@ def pointwise(state: Fit, obs_id: str, n_draws: int = 200, seed: int = 123) -> D
                 continue
             y, x, fixed, trials = batch_arrays(batch, p)
             eta = x @ betas.T + fixed[:, None]
+            for d in range(n_draws):
+                eta[:, d] += effect_noise(batch, x, slopes, d + 1, seed)
             ll = fam.log_lik(family, y[:, None], eta, trials[:, None], shape)
             mu = fam.mean(family, eta, trials[:, None])
             as_list = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
@@ -467,5 +503,5 @@ def pointwise(state: Fit, obs_id: str, n_draws: int = 200, seed: int = 123) -> D
             )
 
     rows = with_effects(state.design, state)
-    rows = rows.select(F.col(obs_id).cast("string").alias("obs"), "y", "x", "offset", "re", "trials")
+    rows = rows.select(F.col(obs_id).cast("string").alias("obs"), "y", "x", "offset", "re", "trials", "levels", "spreads")
     return rows.mapInArrow(score, "obs string, loglik array<double>, fitted array<double>, y double")

@@ -32,3 +32,19 @@ def gammaln(x):
     i2 = 1.0 / (z * z)
     series = (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 / 1680))) / z
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - low
+
+
+def uniform(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """Uniform numbers fixed by row key, draw and seed, the same on every retry."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64) + np.uint64((draw * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) & (2**64 - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def normal(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """Standard normal numbers fixed by row key, draw and seed."""
+    u = np.maximum(uniform(keys, draw, seed), 2.0**-53)
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(keys, draw, seed + 0x5BD1E995))
