@@ -74,22 +74,30 @@ def template_weights() -> list[tuple[int, str, str, float]]:
 
 
 def leading_terms(threshold: float = THRESHOLD) -> list[str]:
-    """For each template the terms left when the lightest ones, together shorter than the threshold, are set aside."""
+    """For each template its longest words, until the others together are shorter than the threshold.
+
+    Any such choice is safe; long words are the ones that other texts rarely hold.
+    """
     found = set()
     for k in range(len(TEMPLATES)):
-        mine = sorted((x, w) for n, _, w, x in template_weights() if n == k)
-        size = 0.0
-        for x, w in mine:
-            size += x * x
-            if math.sqrt(size) >= threshold - 1e-9:
-                found.add(w)
+        mine = {w: x for n, _, w, x in template_weights() if n == k}
+        rest = 1.0
+        for w in sorted(mine, key=lambda w: (len(w), w), reverse=True):
+            if math.sqrt(max(rest, 0.0)) < threshold - 1e-9:
+                break
+            found.add(w)
+            rest -= mine[w] ** 2
     return sorted(found)
 
 
+def leading_pattern(threshold: float = THRESHOLD) -> str:
+    return f"(^|[^a-z0-9])({'|'.join(leading_terms(threshold))})($|[^a-z0-9])"
+
+
 def line_scores(files: DataFrame, threshold: float) -> DataFrame:
     """(id, path, line, n, license, cosine) of the lines of ``files(id, path, text)`` that reach the threshold; n counts the line's words."""
     spark = files.sparkSession
-    some = "|".join(leading_terms(threshold))
+    some = leading_pattern(threshold)
     weight, other = idf()
     weights = spark.createDataFrame([(k, name, w, x, weight[w]) for k, name, w, x in template_weights()], "template int, license string, word string, weight double, idf double")
     idfs = weights.select("word", "idf").distinct()
@@ -173,7 +181,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     weight, other = idf()
     rows = ", ".join(f"({k}, '{name}', '{w}', {x!r}::double, {weight[w]!r}::double)" for k, name, w, x in template_weights())
-    some = "|".join(leading_terms())
+    some = leading_pattern()
     return f"""
     with t(template, license, word, weight, idf) as (values {rows}),
     idfs as (select distinct word, idf from t),
