@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,24 @@ def word_count(c: Column | str) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(spaced(c), " "), "")), F.lit(0)).cast("long")
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same vertices as (a, b) do: each vertex with the first of its component, so fewer edges than vertices."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], least)
+        np.minimum.at(new, label[j], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(names)))
+    return names[other], names[label[other]]
+
+
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """Connected components of ``edges(a, b)`` as rows (id, component); component is the smallest id.
 

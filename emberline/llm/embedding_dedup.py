@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, table
+from .common import Workspace, components, spanning, table
 
 #: Rows of a tile (one row of the shuffle) and of a block (one product).
 TILE, SIDE = 8192, 1024
@@ -70,10 +70,6 @@ class Tile:
             return x[0], np.pi
         return centre / size, float(np.arccos(np.clip((x @ (centre / size)).min(), -1, 1))) + 1e-6
 
-    def exact(self, rows: np.ndarray) -> np.ndarray:
-        x = self.vectors[rows].astype(np.float64)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
 
 def linked(x: Tile, y: Tile, bx: slice, by: slice, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions of all pairs at or above the threshold in one block, and how many needed double precision."""
@@ -136,7 +132,7 @@ def tile_links(x: Tile, y: Tile, same: bool, threshold: float):
             i, j = forest(i, j, bx.stop - bx.start, by.stop - by.start)
             a.append(x.vertex[bx][i])
             b.append(y.vertex[by][j])
-    return nx, ny, np.concatenate(a), np.concatenate(b)
+    return nx, ny, *spanning(np.concatenate(a), np.concatenate(b))
 
 
 def links(points: DataFrame, ws: Workspace, threshold: float, tile: int = TILE) -> DataFrame:
@@ -184,7 +180,7 @@ def links(points: DataFrame, ws: Workspace, threshold: float, tile: int = TILE)
 
     spread = points.repartitionByRange("place", "vertex").sortWithinPartitions("place", "vertex")
     tiles = ws.keep(spread.select("vertex", "weight", "vector").mapInArrow(pack, "part int, seq int, tile binary"), "tiles", compression="none")
-    # Tiles are numbered per dimension-free order; one row per tile of TILE rows.
+    # One row per tile.
     order = ws.keep(tiles.select("part", "seq").withColumn("idx", F.row_number().over(W.orderBy("part", "seq")) - 1), "order")
     n = order.count()
     if n == 0:

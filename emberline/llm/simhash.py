@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, table
+from .common import Workspace, components, spanning, table
 
 SEED = 42
 #: A bucket of more rows is searched instead of compared row by row at fixed distances.
@@ -152,7 +152,7 @@ def covering_links(points: DataFrame, radius: int, sketch: list[str], most: int)
 
     def links(cols):
         sketch = np.stack([c.view(np.uint64) for c in cols[2:]], axis=1)
-        a, b = bucket_links(cols[0], cols[1], sketch, most)
+        a, b = spanning(*bucket_links(cols[0], cols[1], sketch, most))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
