@@ -96,8 +96,8 @@ def id_draw(c: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.col(c).cast("string") if isinstance(c, str) else c), 1, 7), 16, 10).cast("long")
 
 
-def outside(text: Column, *kinds: str) -> Column:
-    """``text`` without its base spans; what is left of words there is not a word of six characters."""
+def outside(text: Column) -> Column:
+    """``text`` with a space for each match of a fixed pattern."""
     for _, pattern, _, _ in KINDS:
         text = F.regexp_replace(text, pattern, " ")
     return text
