@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, components, spanning, table
+from .token_counts import batches_by_bytes
 
 SEED = 42
 #: A bucket of more rows is searched instead of compared row by row at fixed distances.
@@ -74,21 +75,97 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, fp long")
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``docs(id, k, text)`` to (id, k, fp, w0, w1): fp from the distinct words, w0 and w1 from shingles of ``size``.
+def small(batches, text: int):
+    """Parts of ``batches`` with about 2 MB of the text column each, as word lists are many times larger."""
+    for batch in batches:
+        yield from batches_by_bytes(batch, text, 2_000_000)
+
+
+#: Ends of links up to which they are sent to all executors instead of shuffling the texts.
+ENDS = 1_000_000
+
+
+def order_sample(docs: DataFrame, size: int, texts: int = 5_000, least: int = 4, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes of shingles that several texts of a sample hold; they come last in the order of prefixes.
+
+    Any order gives the same pairs; this one keeps common lines out of the buckets.
+    """
+
+    def run(batches):
+        for batch in small(batches, 0):
+            sets = [np.unique(shingle_hashes(words_of(t), size)) for t in batch.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    step = max(1, docs.count() // texts)
+    some = docs.filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).select("text").distinct()
+    seen = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = seen.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column(0).to_numpy()
+    return np.sort(np.asarray(found, np.int64).view(np.uint64))
+
+
+def prefix(shingles: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n sorted distinct shingles, those of ``last`` after all others.
+
+    Sets of similarity 0.8 share at least ceil(0.8 n), so their prefixes share one.
+    """
+    n = len(shingles)
+    at = np.searchsorted(last, shingles)
+    late = last[np.minimum(at, len(last) - 1)] == shingles if len(last) else np.zeros(n, bool)
+    return np.concatenate([shingles[~late], shingles[late]])[: n - (4 * n + 4) // 5 + 1]
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the shingles that fall on it: sets that differ in d shingles differ in at most d bits."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+#: Columns of the parity bits.
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def sketches(docs: DataFrame, size: int, last: np.ndarray) -> DataFrame:
+    """``docs(id, k, text)`` to (id, k, fp, w0, w1, n, p0 to p3, prefix): fp from the distinct words, the others from shingles of ``size``.
 
     A changed word changes one word but ``size`` shingles, so fp stays near for
-    texts whose shingles are similar, while w0 and w1 tell how similar they are.
+    texts whose shingles are similar, while w0 and w1 estimate how similar they
+    are. n counts distinct shingles, of which ``prefix`` holds the first.
     """
+    held = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 2):
             words = [words_of(t) for t in batch.column(2).to_pylist()]
             fp = _signed(majority(shingle_hashes(list(set(w)), 1)) for w in words)
-            wide = [_signed(majority(shingle_hashes(w, size, seed)) for w in words) for seed in (SEED, SEED + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, *wide], ["id", "k", "fp", "w0", "w1"])
+            first = [shingle_hashes(w, size) for w in words]
+            sets = [np.unique(h) for h in first]
+            wide = [_signed(map(majority, first)), _signed(majority(shingle_hashes(w, size, SEED + 1)) for w in words)]
+            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, 4)
+            heads = pa.array([prefix(x, held.value).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            cols = [batch.column(0), batch.column(1), fp, *wide, pa.array([len(x) for x in sets], pa.int64()), *[pa.array(bits[:, k]) for k in range(4)], heads]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "k", "fp", "w0", "w1", "n", *PARITY, "prefix"])
+
+    return docs.select("id", "k", "text").mapInArrow(run, "id long, k string, fp long, w0 long, w1 long, n long, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
+
 
-    return docs.select("id", "k", "text").mapInArrow(run, "id long, k string, fp long, w0 long, w1 long")
+def similar(edges: DataFrame, docs: DataFrame, size: int, ws: Workspace) -> DataFrame:
+    """Those of ``edges(a, b)`` between texts of ``docs(vertex, text)`` whose shingles of ``size`` words have Jaccard similarity >= 0.8."""
+
+    def run(batches):
+        for batch in small(batches, 1):
+            sets = [np.unique(shingle_hashes(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "s"])
+
+    ends = ws.keep(edges.select(F.col("a").alias("vertex")).union(edges.select("b")).distinct(), "ends")
+    ends = F.broadcast(ends) if ends.count() <= ENDS else ends
+    texts = docs.join(ends, "vertex", "left_semi").dropDuplicates(["vertex"])
+    sets = ws.keep(texts.select("vertex", "text").mapInArrow(run, "vertex long, s array<long>"), "sets")
+    both = edges.join(sets.select(F.col("vertex").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("s").alias("y")), "b")
+    # |x & y| / |x | y| >= 4/5 in whole numbers.
+    out = ws.keep(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    ws.drop(sets)
+    return out
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -185,10 +262,92 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
-#: Bits by which the covering tables find every pair of word fingerprints.
+#: Bits of the word fingerprints that the covering tables span.
 STAGE_RADIUS = 6
-#: Bits of 128 that five-word shingles of similarity 0.8 differ in, with room for the spread of the estimate.
+#: Bits of 128 that linked sketches of five-word shingles differ in, with room for the spread of the estimate.
 STAGE_MOST = 25
+#: Rows of a hot shingle that are compared with each other in one task, and rows at a time.
+BLOCK, SLICE = 2048, 256
+
+
+def by_key(batches):
+    """Columns of whole runs of the first column, which is sorted; a run over many batches is joined once."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(k)) for k in range(batch.num_columns)]
+        key = cols[0]
+        if held and key[0] != held[-1][0][-1]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        cut = np.searchsorted(key, key[-1])
+        if cut:
+            held.append([c[:cut] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def shared_prefixes(keys: DataFrame) -> DataFrame:
+    """(a, b, hot): pairs of ``keys(key, vertex, n, label)`` of one key with different labels and n within 0.8.
+
+    Keys with more than SMALL rows are not paired: their rows come as (key, vertex, true).
+    """
+
+    def links(cols):
+        keys, vertex, n, label = cols
+        bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        length = np.diff(bounds)
+        size = np.repeat(length, length)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, min(SMALL, len(keys))):
+            i = np.flatnonzero((size[:-step] <= SMALL) & (keys[:-step] == keys[step:]) & (label[:-step] != label[step:]))
+            j = i + step
+            near = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+            a.append(np.minimum(vertex[i], vertex[j])[near])
+            b.append(np.maximum(vertex[i], vertex[j])[near])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        many = [k for k in np.flatnonzero(length > SMALL) if (label[bounds[k] : bounds[k + 1]] != label[bounds[k]]).any()]
+        rows = np.concatenate([np.zeros(0, np.int64), *[np.arange(bounds[k], bounds[k + 1]) for k in many]])
+        hot = np.repeat([False, True], [len(pairs), len(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], keys[rows]])), pa.array(np.concatenate([pairs[:, 1], vertex[rows]])), pa.array(hot)], ["a", "b", "hot"])
+
+    def run(batches):
+        for cols in by_key(batches):
+            yield links(cols)
+
+    return keys.select("key", "vertex", "n", "label").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot boolean")
+
+
+def hot_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of ``rows(key, vertex, n, label, p0 to p3)`` of one key with different labels whose n and parity bits allow similarity 0.8.
+
+    The rows of a key are dealt into blocks, and each two blocks meet in a task.
+    """
+
+    def run(batches):
+        for cols in by_key(batches):
+            bounds = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1], [True]]))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                vertex, n, label = (c[lo:hi] for c in cols[1:4])
+                bits = np.stack([c[lo:hi].view(np.uint64) for c in cols[4:]])
+                for at in range(0, hi - lo, SLICE):
+                    x = slice(at, at + SLICE)
+                    apart = sum(np.bitwise_count(w[x, None] ^ w[None, :]).astype(np.int64) for w in bits)
+                    ok = (label[x, None] < label[None, :]) & (5 * np.minimum(n[x, None], n) >= 4 * np.maximum(n[x, None], n)) & (9 * apart <= n[x, None] + n)
+                    i, j = np.nonzero(ok)
+                    i = i + at
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(vertex[i], vertex[j])), pa.array(np.maximum(vertex[i], vertex[j]))], ["a", "b"])
+
+    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
+    own = rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    met = met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "vertex", "n", "label", *PARITY)
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = STAGE_RADIUS, most: int = STAGE_MOST) -> DataFrame:
@@ -196,19 +355,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``component`` is the smallest id of the group, NULL where none of its rows
     has one; kept is the smallest id, then the smallest text hash. Equal texts
-    are one vertex. Candidates are fingerprints of the distinct words within
-    ``radius`` bits; a candidate links if the 128-bit SimHash of its shingles of
-    ``size`` words differs in at most ``most`` bits, which stands for a
-    similarity of 0.8 or more. NULL texts count as empty.
+    are one vertex. Two texts link if the Jaccard similarity of their
+    shingles of ``size`` words is 0.8 or more. Covering tables and SimHash join
+    most copies by few links; a prefix filter then finds every other pair of
+    different groups, and verifies it. NULL texts count as empty.
     """
     ws = Workspace(docs.sparkSession, "near-copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("k"), text.alias("text"))
-    rows = ws.keep(sketches(rows, size), "sketches")
-    points = rows.groupBy("k").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "w0", "w1")])
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("k"), text.alias("text"))
+    texts = source.select(F.xxhash64("k").alias("vertex"), "text")
+    rows = ws.keep(sketches(source, size, order_sample(source, size)), "sketches")
+    points = rows.groupBy("k").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "w0", "w1", "n", *PARITY)], F.first("prefix").alias("prefix"))
     points = ws.keep(points.withColumn("vertex", F.xxhash64("k")), "points")
-    edges = covering_links(points, radius, ["w0", "w1"], most)
-    labels = components(edges, ws).withColumnRenamed("id", "vertex")
+    edges = ws.keep(covering_links(points, radius, ["w0", "w1"], most), "close")
+    labels = components(edges, ws).withColumnRenamed("id", "vertex").withColumnRenamed("component", "label")
+    labelled = points.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    labelled = ws.keep(labelled.select("vertex", "n", *PARITY, "label", "prefix"), "labelled")
+    shared = ws.keep(shared_prefixes(labelled.select(F.explode("prefix").alias("key"), "vertex", "n", "label")), "shared")
+    bits = labelled.drop("prefix")
+    hot = shared.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("vertex")).join(bits, "vertex")
+    hot = hot_pairs(ws.keep(hot.select("key", "vertex", "n", "label", *PARITY), "hot"))
+    end = lambda v: bits.select(F.col("vertex").alias(v), F.col("n").alias(f"n_{v}"), *[F.col(p).alias(f"{p}_{v}") for p in PARITY])
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
+    cold = shared.filter("not hot").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").filter(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    candidates = ws.keep(cold.union(hot).distinct(), "candidates")
+    ws.drop(shared)
+    rest = similar(candidates, texts, size, ws)
+    labels = components(edges.union(rest), ws).withColumnRenamed("id", "vertex")
     classes = points.join(labels, "vertex", "left").select("k", "least", F.coalesce("component", "vertex").alias("label"))
     # NULL ids come after all others.
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k")).alias("first")

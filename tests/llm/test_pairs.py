@@ -117,6 +117,56 @@ def test_near_copies(spark):
     assert sorted((r.id is None, r.id) for r in got if r.kept) == [*[(False, 10 * k) for k in range(12)], (False, 501), (True, None)]
 
 
+def shingles(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def edited_texts():
+    """Short and long texts with replaced words, appended and cut passages, pairs around 0.8, and one hot group with a common line."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    out = []
+    for n in (8, 12, 30, 60, 120, 250):
+        for _ in range(6):
+            base = some(n)
+            out.append(base)
+            for share in (0.03, 0.1, 0.16, 0.19, 0.22, 0.3):
+                extra = max(1, round(n * share))
+                out += [base + some(extra), some(extra) + base, base[: n - extra]]
+            for changes in (1, 2, max(1, n // 50), max(1, n // 40), max(1, n // 30)):
+                copy = list(base)
+                for _ in range(changes):
+                    copy[rng.randrange(n)] = word()
+                out.append(copy)
+    line, base = some(9), some(80)
+    for k in range(60):
+        out.append(base + some(k % 25))
+        out.append(line + some(20 + k % 7))
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sh, "BLOCK", 20, raising=False)
+    texts = edited_texts()
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    got = sh.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    component = {r.id: r.component for r in got}
+    assert all(component[i] == component[j] for i, j in near)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1), st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400)))
+def test_prefix_and_parity_miss_no_pair(x, flips, late):
+    y = x ^ set(sorted(flips)[: max(1, len(x) // 6)])
+    a, b, last = (np.array(sorted(s), np.uint64) for s in (x, y, late))
+    if y and 5 * len(x & y) >= 4 * len(x | y):
+        assert set(sh.prefix(a, last)) & set(sh.prefix(b, last))
+    assert np.bitwise_count((sh.parity(a) ^ sh.parity(b)).view(np.uint64)).sum() <= len(x ^ y)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, component_id int")
 
