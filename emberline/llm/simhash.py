@@ -264,7 +264,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Bits of the word fingerprints that the covering tables span.
 STAGE_RADIUS = 6
-#: Bits of 128 that linked sketches of five-word shingles differ in, with room for the spread of the estimate.
+#: Bits of 128 that linked sketches of five-word shingles differ in; each such link is verified.
 STAGE_MOST = 25
 #: Rows of a hot shingle that are compared with each other in one task, and rows at a time.
 BLOCK, SLICE = 2048, 256
@@ -355,10 +355,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``component`` is the smallest id of the group, NULL where none of its rows
     has one; kept is the smallest id, then the smallest text hash. Equal texts
-    are one vertex. Two texts link if the Jaccard similarity of their
+    are one vertex. Two texts link exactly if the Jaccard similarity of their
     shingles of ``size`` words is 0.8 or more. Covering tables and SimHash join
     most copies by few links; a prefix filter then finds every other pair of
-    different groups, and verifies it. NULL texts count as empty.
+    different groups. All links are verified. NULL texts count as empty.
     """
     ws = Workspace(docs.sparkSession, "near-copies")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -367,7 +367,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = ws.keep(sketches(source, size, order_sample(source, size)), "sketches")
     points = rows.groupBy("k").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "w0", "w1", "n", *PARITY)], F.first("prefix").alias("prefix"))
     points = ws.keep(points.withColumn("vertex", F.xxhash64("k")), "points")
-    edges = ws.keep(covering_links(points, radius, ["w0", "w1"], most), "close")
+    close = ws.keep(covering_links(points, radius, ["w0", "w1"], most), "close")
+    edges = similar(close, texts, size, ws)
     labels = components(edges, ws).withColumnRenamed("id", "vertex").withColumnRenamed("component", "label")
     labelled = points.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     labelled = ws.keep(labelled.select("vertex", "n", *PARITY, "label", "prefix"), "labelled")
@@ -379,7 +380,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
     cold = shared.filter("not hot").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").filter(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b")
     candidates = ws.keep(cold.union(hot).distinct(), "candidates")
-    ws.drop(shared)
+    ws.drop(close, shared)
     rest = similar(candidates, texts, size, ws)
     labels = components(edges.union(rest), ws).withColumnRenamed("id", "vertex")
     classes = points.join(labels, "vertex", "left").select("k", "least", F.coalesce("component", "vertex").alias("label"))

@@ -153,8 +153,9 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     sets = [shingles(t) for t in texts]
     near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     got = sh.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    component = {r.id: r.component for r in got}
-    assert all(component[i] == component[j] for i, j in near)
+    first = {t: k for k, t in reversed(list(enumerate(texts)))}
+    want = joined(len(texts), near + [(first[t], k) for k, t in enumerate(texts)])
+    assert {r.id: r.component for r in got} == dict(enumerate(want))
 
 
 @settings(max_examples=200, deadline=None)
