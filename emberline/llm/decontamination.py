@@ -10,7 +10,9 @@ always lies in one passage. For each passage,
 1. the sum of list maxima must reach the threshold (the WAND test),
 2. then, for each block, the sum of its maxima,
 3. then the score itself; and a hit is verified by comparing word runs of the
-   item's question (all but its last sentence) and answer (the last one).
+   item's question (all but its last sentence) and answer (the last one), or of
+   the whole item. Short parts have shorter runs, so that one changed word never
+   takes more than half of them.
 
 The bounds are sums over the distinct terms of strides and never too small, so
 every item above the threshold is found. All steps run on arrays of one batch.
@@ -32,6 +34,8 @@ from .token_counts import AtSpaces, batches_by_bytes
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved, and of its word runs from which it is verified.
 THRESHOLD, OVERLAP = 0.5, 0.5
+#: Share of the whole item's word runs that verifies a hit whatever its halves hold.
+WHOLE = 0.8
 RUN, ITEMS_PER_BLOCK, LEAST_STRIDE = 5, 8, 32
 #: Words of items in one index; a larger benchmark is searched in several passes.
 INDEX_WORDS = 2_000_000
@@ -61,6 +65,11 @@ def runs(words, size: int = RUN) -> set:
     return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
+def run_size(n: int) -> int:
+    """Words in a run of a part of n words: RUN, or fewer where one word would lie in over half of the runs."""
+    return max(1, min(RUN, (n + 1) // 3))
+
+
 class Index:
     """Postings of ``items`` (id, text) with impacts, list and block maxima.
 
@@ -96,14 +105,14 @@ class Index:
         self.block = np.array([b for t in tops for b in t], np.int64)
         self.block_max = np.array([s for t in tops for s in t.values()])
         self.blocks = -(-len(items) // ITEMS_PER_BLOCK)
-        parts = [tuple(runs([self.term[w] for w in half]) for half in halves(x[1])) for x in items]
-        self.question, self.answer = [q for q, _ in parts], [a for _, a in parts]
+        cut = lambda ws: runs([self.term[w] for w in ws], run_size(len(ws)))
+        self.parts = [tuple(map(cut, (*halves(x[1]), ws))) for x, ws in zip(items, words, strict=True)]
 
-    def verify(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the word runs of question and answer that the passage holds."""
-        sizes = {len(r) for half in (self.question[item], self.answer[item]) for r in half}
+    def verify(self, item: int, passage: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the word runs of question, answer and whole item that the passage holds."""
+        sizes = {len(r) for part in self.parts[item] for r in part}
         held = set().union(*(runs(passage.tolist(), s) for s in sizes))
-        return tuple(len(half & held) / len(half) if half else 1.0 for half in (self.question[item], self.answer[item]))
+        return tuple(len(part & held) / len(part) if part else 1.0 for part in self.parts[item])
 
 
 def _expand(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +233,13 @@ def build_indexes(benchmark: DataFrame, ws: Workspace, most: int = INDEX_WORDS):
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: float = WHOLE
 ) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap): one row for each text and item it leaks, best passage first.
 
     A text leaks an item if one of its passages scores at least ``threshold`` and
-    holds at least ``overlap`` of the word runs of question and answer. NULL and
-    empty texts and items leak nothing; rows that repeat with one id count as one
+    holds at least ``overlap`` of the word runs of question and answer, or
+    ``whole`` of those of the whole item. NULL and empty texts and items leak nothing; rows that repeat with one id count as one
     text; rows with a NULL id are searched like any other. Empty tables give an
     empty one; other columns are not read.
     """
@@ -245,13 +254,13 @@ def find_leaks(
         def run(batches, held=held):
             index = held.value
             terms = Terms(index)
-            for whole in batches:
-                for batch in batches_by_bytes(whole, 1, 8_000_000):
+            for large in batches:
+                for batch in batches_by_bytes(large, 1, 8_000_000):
                     tid, at = token_ids(batch.column(1), terms)
                     ids, out = batch.column(0).to_pylist(), []
                     for d, item, score, passage in search(index, tid, at, threshold):
-                        q, a = index.verify(item, passage)
-                        if q >= overlap and a >= overlap:
+                        q, a, w = index.verify(item, passage)
+                        if (q >= overlap and a >= overlap) or w >= whole:
                             out.append((ids[d], index.ids[item], round(score, 6), q, a))
                     cols = list(zip(*out, strict=True)) or [[]] * 5
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]

@@ -301,6 +301,18 @@ def test_leaks_are_verified(spark):
     assert dc.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_edited_and_cut_copies_leak(spark):
+    question = "Which of the seven rivers of the northern plain carries the most silt to the sea in a dry year and why does the harbour town below the weir never flood."
+    items = [(1, f"{question} B."), (2, f"{question.replace('seven', 'nine')} The slow river."), (3, "Name the old capital of the lake district. It is Varn by the water.")]
+    rows = [
+        (1, f"Intro. {question} C. More text follows here."), (2, f"Intro. {question.replace('seven', 'nine')} More text follows here."),
+        (3, f"{question.replace('seven', 'nine').replace('silt', 'mud')} The fast river."), (4, "Name the old capital of the lake region. It is Varn by the water."),
+        (5, "Name the old capital of the lake region. Nobody knows what that may be."), (6, " ".join(sorted(question.split())) + " B."), (7, "The slow river is B."),
+    ]
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1, 1), (2, 2), (3, 2), (4, 3)} <= got and not {d for d, _ in got} & {5, 6, 7}
+
+
 def test_a_large_benchmark_is_searched_in_parts(spark):
     items, texts = corpus(n=40)
     bench = spark.createDataFrame(items, "item_id long, text string")
