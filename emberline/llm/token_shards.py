@@ -16,19 +16,115 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .token_counts import Encoder, batches_by_bytes
+from .token_counts import GROUP_BYTES, LONG_PIECE, MEMORY, BeforeSpaces, Encoder, batches_by_bytes
 
 MAGIC = b"WMX1"
 BLOCK = 512
+#: Ids that are dealt to both halves of a level at once; they stay in the processor's cache.
+RUN = 1 << 15
+#: Bytes of text encoded at once.
+BATCH = 16_000_000
+#: A mark behind a letter: the byte-level split always parts them. Only letters that every Unicode version has as letters.
+MARKED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,;:!?|]\\z"
 #: A shard is closed when it holds this many ids; a document is never divided.
 SHARD_IDS = 1 << 22
 
 
+class Coder:
+    """Ids of texts as bytes; one for each vocabulary, id size and worker.
+
+    The distinct pieces of a batch lose a mark behind their last letter, and
+    what is left is looked up in a bounded memory or encoded by the library.
+    """
+
+    _made: dict = {}
+
+    def __init__(self, path: str, code: str):
+        self.encoder, self.code = Encoder.of(path), code
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str, code: str) -> Coder:
+        if (path, code) not in cls._made:
+            cls._made[path, code] = cls(path, code)
+        return cls._made[path, code]
+
+    def pack(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text begins and the last one ends."""
+        lists = self.encoder.pieces(texts)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        values = self.values(coded.dictionary)
+        size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        kind = np.dtype(f"<u{array(self.code).itemsize}")
+        index = coded.indices
+        ends = np.concatenate([[0], np.cumsum(size[index.to_numpy()])]) // kind.itemsize
+        data = values.take(index).buffers()[2] if len(index) else None
+        return np.frombuffer(data, kind, ends[-1]) if data is not None else np.zeros(0, kind), ends[at - at[0]]
+
+    def values(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces as binary values."""
+        if self.encoder.safe is not BeforeSpaces:
+            return pa.array(self.encoder.learn(pieces.to_pylist(), self.pack), pa.binary())
+        marked = pc.match_substring_regex(pieces, MARKED)
+        cut = pc.utf8_slice_codeunits(pieces, 0, -1)
+        coded = pc.if_else(marked, cut, pieces).dictionary_encode()
+        known = pa.array(self.learn(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        if not pc.any(marked).as_py():
+            return known
+        ends = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, -1), "").dictionary_encode()
+        marks = pa.array(self.learn(ends.dictionary.to_pylist()), pa.binary()).take(ends.indices)
+        return pc.binary_join_element_wise(known, marks, pa.scalar(b"", pa.binary()))
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, pieces))
+        group, rows, held, old = [], [], 0, self.old
+        missing = [k for k, value in enumerate(out) if value is None]
+        for k in missing:
+            p = pieces[k]
+            value = old.get(p)
+            if value is not None:
+                out[k] = self.young[p] = value
+                continue
+            group.append(p)
+            rows.append(k)
+            held += len(p)
+            if held >= GROUP_BYTES:
+                self._encode(group, rows, out)
+                group, rows, held = [], [], 0
+        self._encode(group, rows, out)
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+        return out
+
+    def _encode(self, group: list[str], rows: list[int], out: list) -> None:
+        for p, k, ids in zip(group, rows, self.encoder.encode(group), strict=True):
+            out[k] = self.pack(ids)
+            if len(p) <= LONG_PIECE:
+                self.young[p] = out[k]
+
+
+def halves(a: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ids without the bit, then those with it, both in their order, and how many come first."""
+    low, high = [], []
+    for at in range(0, len(a), RUN):
+        part, own = a[at : at + RUN], bit[at : at + RUN]
+        # By index: a mask of random bits is slow.
+        low.append(part.take(np.flatnonzero(~own)))
+        high.append(part.take(np.flatnonzero(own)))
+    return np.concatenate([*low, *high]) if low else a, sum(map(len, low))
+
+
 def pack(ids: np.ndarray, starts: np.ndarray, doc_ids: list, levels: int = 16) -> bytes:
     """The file for ``ids``; document k is ids[starts[k]:starts[k + 1]]."""
     import zstandard
@@ -43,10 +139,8 @@ def pack(ids: np.ndarray, starts: np.ndarray, doc_ids: list, levels: int = 16) -
         ones = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
         rank = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
         planes += [squeeze(words.tobytes()), squeeze(rank.tobytes())]
-        # By index: a mask of random bits is slow.
-        low = a[np.flatnonzero(~bit)]
-        zeros.append(len(low))
-        a = np.concatenate([low, a[np.flatnonzero(bit)]])
+        a, low = halves(a, bit)
+        zeros.append(low)
     null = np.array([d is None for d in doc_ids], np.uint8)
     named = np.array([0 if d is None else d for d in doc_ids], np.int64)
     head = struct.pack("<QQQ", len(a), len(doc_ids), levels) + np.array(zeros, np.uint64).tobytes()
@@ -155,9 +249,15 @@ class Shard:
         a = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in reversed(range(self.levels)):
             bit = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
-            up, z = np.empty_like(a), self.zeros[level]
-            up[np.flatnonzero(~bit)] = a[:z]
-            up[np.flatnonzero(bit)] = a[z:] | a.dtype.type(1 << (self.levels - 1 - level))
+            up, low, high = np.empty_like(a), 0, self.zeros[level]
+            a[high:] |= a.dtype.type(1 << (self.levels - 1 - level))
+            for at in range(0, self.n, RUN):
+                one = np.flatnonzero(bit[at : at + RUN])
+                none = np.flatnonzero(~bit[at : at + RUN])
+                part = up[at : at + RUN]
+                part[none] = a[low : low + len(none)]
+                part[one] = a[high : high + len(one)]
+                low, high = low + len(none), high + len(one)
             a = up
         return a
 
@@ -165,43 +265,52 @@ class Shard:
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, file binary"
 
 
-def write_shards(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, levels: int = 16, shard_ids: int = SHARD_IDS) -> DataFrame:
+def levels_of(path: str, end_id: int) -> int:
+    """Bits of the largest id of a vocabulary, the end id included."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        most = sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size() - 1
+    else:
+        from tokenizers import Tokenizer
+
+        most = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    return max(1, max(most, end_id).bit_length())
+
+
+def write_shards(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode ``docs(id, text)`` in ascending id order and write one shard file per row.
 
     Rows are dealt by ranges of (id, hash of the text), so rows with one id or
     with none can be split. NULL ids come first; equal ids are ordered by the
-    hash of the text, then the text. A NULL text is an empty one.
+    hash of the text, then the text. A NULL text is an empty one. The driver
+    reads the vocabulary too, to see how many bits an id takes.
     """
+    levels = levels_of(path, end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder.of(path), TaskContext.get().partitionId(), 0
-        kind, code = (np.dtype("<u2"), "H") if levels <= 16 else (np.dtype("<u4"), "I")
-        keep = lambda ids: array(code, ids).tobytes()
-        held, names, sizes = [], [], []
+        coder, part, seq = Coder.of(path, "H" if levels <= 16 else "I"), TaskContext.get().partitionId(), 0
+        held, names, sizes, n = [], [], [], 0
 
         def close():
-            nonlocal held, names, sizes, seq
+            nonlocal held, names, sizes, seq, n
             starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             data = pack(np.concatenate(held), starts, names, levels)
-            row = [[part], [seq], [len(names)], [int(starts[-1])], [data]]
-            held, names, sizes, seq = [], [], [], seq + 1
+            row = [[part], [seq], [len(names)], [n], [data]]
+            held, names, sizes, seq, n = [], [], [], seq + 1, 0
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "seq", "n_docs", "n_ids", "file"])
 
         for whole in batches:
-            for batch in batches_by_bytes(whole, 1, 4 * shard_ids):
-                values, index, at = encoder.values(batch.column(1), keep)
-                flat = np.frombuffer(b"".join(values), kind)
-                length = np.array([len(v) for v in values] or [0], np.int64) // kind.itemsize
-                first, n = np.cumsum(length) - length, length[index]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
-                held.append(np.insert(ids, ends[at[1:]], end_id))
-                sizes.append(ends[at[1:]] - ends[at[:-1]] + 1)
+            for batch in batches_by_bytes(whole, 1, min(BATCH, 4 * shard_ids)):
+                ids, at = coder.texts(batch.column(1))
+                held.append(np.insert(ids, at[1:], end_id))
+                sizes.append(np.diff(at) + 1)
+                n += len(held[-1])
                 names += batch.column(0).to_pylist()
-                if sum(map(len, held)) >= shard_ids:
+                if n >= shard_ids:
                     yield close()
         if names:
             yield close()
