@@ -14,7 +14,7 @@ posterior: intervals of weakly identified scales will differ from sampling.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +29,7 @@ from . import family as fam
 from .special import normal
 
 LEVEL, GRAM, SCALARS, MOVED = 0, 1, 2, 3
+#: Smallest scale of group effects and residuals, as a part of the response's own.
 SMALLEST_SCALE = 1e-3
 
 
@@ -62,6 +63,8 @@ class Fit:
     history: list[float] = field(default_factory=list)
     trace: dict[str, list[np.ndarray]] = field(default_factory=dict)
     stored: dict[str | None, str] = field(default_factory=dict)
+    #: Of a fit with a joint curvature: what draws need.
+    joint: object = None
 
 
 def fit(
@@ -73,20 +76,41 @@ def fit(
     max_cycles: int = 60,
     tol: float = 1e-6,
     scale_tol: float = 1e-4,
-    design: DataFrame | None = None,
     strict: bool = True,
+    scales: Mapping[str, np.ndarray] | None = None,
+    shape: float | None = None,
 ) -> Fit:
     """Fit ``formula`` to ``df``. ``keep`` columns stay in the stored design.
 
     Stops when no coefficient moves by ``tol`` and no scale by a factor of more
     than 1 + ``scale_tol``. A fit that has not settled after ``max_cycles`` is an
-    error, or with ``strict`` off a result whose ``converged`` is false.
+    error, or with ``strict`` off a result whose ``converged`` is false. Given
+    ``scales`` (the covariance of each group's effects) and ``shape`` are held.
+
+    All effects move together (``joint``). Only where two factors have more
+    levels than one system holds do the steps go round the factors, and the
+    standard errors leave out the other factors' part.
     """
+    from . import joint
+
+    task = joint.Task("model", formula, family, priors or Priors(), scales, shape)
+    try:
+        return joint.fit_together(df, [task], keep, max_cycles, tol, scale_tol, strict)["model"]
+    except joint.TooManyLevels:
+        if scales is not None:
+            raise
+        return fit_in_turn(df, formula, family, priors, keep, max_cycles, tol, scale_tol, strict)
+
+
+def fit_in_turn(
+    df: DataFrame, formula: Formula, family: str, priors: Priors | None = None, keep: Sequence[str] = (),
+    max_cycles: int = 60, tol: float = 1e-6, scale_tol: float = 1e-4, strict: bool = True,
+) -> Fit:
+    """``fit`` with steps that go round the factors, each of which may have any number of levels."""
     fam.check_family(family)
     priors = priors or Priors()
     terms = [n for n, _ in term_columns(formula)]
-    if design is None:
-        design = materialize(design_matrix(df, formula, keep), "design")
+    design = materialize(design_matrix(df, formula, keep), "design")
     p = len(terms)
     means = design.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(p)],
                        F.avg("y").alias("ybar"), F.stddev_samp("y").alias("ysd"),
@@ -368,14 +392,16 @@ def _step(state: Fit, group: str | None, priors: Priors, center: np.ndarray) ->
     return change, scale_change
 
 
-def _scale_mode(n: float, squares: float, rate: float) -> float:
+def _scale_mode(n: float, squares: float, rate: float, floor: float = SMALLEST_SCALE) -> float:
     """Mode of a scale with n log-densities: root of rate s^3 + n s^2 = squares."""
-    roots = np.roots([rate, n, 0.0, -squares])
+    # In units of the size of the answer, so that the smallest scales keep their digits.
+    unit = max(np.sqrt(squares / max(n, 1e-8)), 1e-300)
+    roots = np.roots([rate * unit**3, n * unit**2, 0.0, -squares])
     real = roots[np.abs(roots.imag) < 1e-9].real
-    return float(max(real.max(), SMALLEST_SCALE))
+    return float(max(real.max() * unit, floor))
 
 
-def _extrapolate(trace: list[np.ndarray], sd: np.ndarray) -> np.ndarray:
+def _extrapolate(trace: list[np.ndarray], sd: np.ndarray, floor: float = SMALLEST_SCALE) -> np.ndarray:
     """Every third update jumps to the limit a geometric approach points at (Aitken)."""
     trace.append(np.log(sd))
     if len(trace) < 3:
@@ -386,7 +412,7 @@ def _extrapolate(trace: list[np.ndarray], sd: np.ndarray) -> np.ndarray:
     ratio = np.divide(last, first, out=np.zeros_like(last), where=np.abs(first) > 1e-12)
     ratio = np.clip(ratio, -0.9, 0.98)
     jump = np.clip(last * ratio / (1 - ratio), -2.0, 2.0)
-    return np.maximum(np.exp(c + jump), SMALLEST_SCALE)
+    return np.maximum(np.exp(c + jump), floor)
 
 
 def _update_scales(state, group, priors, q, scalars, second) -> float:
@@ -465,6 +491,10 @@ def ranef(state: Fit, factor: str) -> DataFrame:
 
 def draw_betas(state: Fit, n: int, seed: int = 123) -> np.ndarray:
     """n draws of the fixed effects from the normal approximation."""
+    if state.joint is not None:
+        from .joint import draws_of
+
+        return draws_of(state.joint, n, seed)[:, : len(state.beta)]
     rng = np.random.default_rng(seed)
     root = np.linalg.cholesky((state.cov + state.cov.T) / 2 + 1e-12 * np.eye(len(state.beta)))
     return state.beta + rng.standard_normal((n, len(state.beta))) @ root.T
@@ -477,31 +507,46 @@ def draws_table(state: Fit, n: int, seed: int = 123) -> DataFrame:
     return state.design.sparkSession.createDataFrame(rows, "draw int, term string, value double")
 
 
+def predictors(state: Fit, n_draws: int, seed: int, *columns) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """Rows with ``columns``, y, offset and trials, and a function from their batches to the linear predictor of each draw.
+
+    A joint fit draws all effects together. Otherwise each group effect is drawn
+    from its own normal approximation.
+    """
+    if state.joint is not None:
+        from .joint import predictor_rows
+
+        return predictor_rows(state.joint, n_draws, seed, *columns)
+    betas, p, slopes = draw_betas(state, n_draws, seed), len(state.terms), effect_slopes(state)
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        _, x, fixed, _ = batch_arrays(batch, p)
+        eta = x @ betas.T + fixed[:, None]
+        for d in range(n_draws):
+            eta[:, d] += effect_noise(batch, x, slopes, d + 1, seed)
+        return eta
+
+    rows = with_effects(state.design, state)
+    return rows.select(*columns, "y", "x", "offset", "re", "trials", "levels", "spreads"), of
+
+
 def pointwise(state: Fit, obs_id: str, n_draws: int = 200, seed: int = 123) -> DataFrame:
     """Per row: the id, log likelihood per draw, expected response per draw, and y.
 
-    Draws stay in one array per row; rows are never multiplied by draws. Group
-    effects are drawn too, each from its own normal approximation.
+    Draws stay in one array per row; rows are never multiplied by draws.
     """
-    betas, p = draw_betas(state, n_draws, seed), len(state.terms)
-    family, shape, slopes = state.family, state.shape, effect_slopes(state)
+    family, shape = state.family, state.shape
+    rows, of = predictors(state, n_draws, seed, F.col(obs_id).cast("string").alias("obs"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            y, x, fixed, trials = batch_arrays(batch, p)
-            eta = x @ betas.T + fixed[:, None]
-            for d in range(n_draws):
-                eta[:, d] += effect_noise(batch, x, slopes, d + 1, seed)
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            y, trials, eta = get("y").to_numpy(zero_copy_only=False), get("trials").to_numpy(zero_copy_only=False), of(batch)
             ll = fam.log_lik(family, y[:, None], eta, trials[:, None], shape)
             mu = fam.mean(family, eta, trials[:, None])
             as_list = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("obs")), as_list(ll), as_list(mu), pa.array(y)],
-                names=["obs", "loglik", "fitted", "y"],
-            )
+            yield pa.RecordBatch.from_arrays([get("obs"), as_list(ll), as_list(mu), pa.array(y)], names=["obs", "loglik", "fitted", "y"])
 
-    rows = with_effects(state.design, state)
-    rows = rows.select(F.col(obs_id).cast("string").alias("obs"), "y", "x", "offset", "re", "trials", "levels", "spreads")
     return rows.mapInArrow(score, "obs string, loglik array<double>, fitted array<double>, y double")
