@@ -48,3 +48,27 @@ def normal(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
     """Standard normal numbers fixed by row key, draw and seed."""
     u = np.maximum(uniform(keys, draw, seed), 2.0**-53)
     return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(keys, draw, seed + 0x5BD1E995))
+
+
+def beta_share(a, b, x):
+    """Regularised incomplete beta function I_x(a, b), by its continued fraction on the side where that converges fast."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    z = np.where(inside, x, 0.5)
+    front = np.exp(gammaln(a + b) - gammaln(a) - gammaln(b) + a * np.log(z) + b * np.log1p(-z)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(z), 1 / np.where(np.abs(g := 1 - (a + b) * z / (a + 1)) < tiny, tiny, g)
+    value = d.copy()
+    for m in range(1, 10_000):
+        for term in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + term * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + term / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            value = value * c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
+            break
+    share = np.where(inside, front * value, x)
+    return np.where(turn, 1 - share, share)

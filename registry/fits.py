@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.functions import numeric
-from emberline.models import compare, grid
+from emberline.models import compare, grid, joint
 from emberline.models import fit as models
 from emberline.operators import survey
 from emberline.operators.encode import Formula
@@ -13,6 +13,7 @@ from emberline.plans import linkage
 from emberline.session import materialize, scratch_path
 from emberline.sources.tables import save_fit
 
+from .newton import Group, coefficients_sql, effects_sql, mode_sql
 from .standins import table
 
 QUERIES = {}
@@ -95,17 +96,97 @@ def ppc(spark, sf):
     return compare.ppc(logit(spark, sf), "doc_id", 10)
 
 
-@query
-def model_grid(spark, sf):
-    """Two of the named models on the burnt presence table."""
+def model_data(spark, sf):
+    """The four tables of the named models, with a row key."""
     from .queries import responses
 
     clean = materialize(responses(spark, sf), "clean")
-    pa = survey.pa_table(survey.model_columns(clean))
-    rows, burnt = linkage.burnt_tables(pa, "pa")
-    tables = {"pa_all": rows, "pa_burnt": materialize(burnt, "burnt")}
-    specs = [grid.MODELS[n] for n in ("pa_m2", "pa_m3_sens")]
-    return grid.run_grid(specs, tables, scratch_path(spark, "grid"), max_cycles=5, tol=1e-3, scale_tol=1e-1, strict=False)
+    model = survey.model_columns(clean)
+    out = {}
+    for kind, df in (("pa", survey.pa_table(model)), ("abundance", survey.abundance_table(model))):
+        rows, burnt = linkage.burnt_tables(df, kind)
+        out |= {f"{kind}_all": rows, f"{kind}_burnt": materialize(burnt, "burnt")}
+    return out
+
+
+@query
+def model_grid(spark, sf):
+    """All 18 named models of the presence and abundance tables, at the default tolerances."""
+    specs = [s for s in grid.MODELS.values() if s.table.startswith(("pa_", "abundance_"))]
+    return grid.run_grid(specs, model_data(spark, sf), scratch_path(spark, "grid"))
+
+
+@query
+def grid_loo(spark, sf):
+    """The burnt presence models fitted, scored by leaving rows out, stored, and ranked on the rows that all of them use."""
+    names = ["pa_m2", "pa_m3", "pa_m4", "pa_m4_1", "pa_m5", "pa_m6", "pa_m7"]
+    burnt = model_data(spark, sf)["pa_burnt"].filter(F.col("no_fires_model").isNotNull())
+    fits = grid.fit_grid([grid.MODELS[n] for n in names], {"pa_burnt": burnt}, keep=["row_ord"])
+    return compare.loo_compare(grid.grid_scores(fits, "row_ord", scratch_path(spark, "loo")))
+
+
+@query
+def scale_intervals(spark, sf):
+    """Group and residual scales of ``fit_logit`` with intervals."""
+    return joint.scale_intervals(logit(spark, sf))
+
+
+# Fits with given scales, whose mode SQL can find too ----------------------------
+
+EXACT = {"tol": 1e-9}
+
+
+def crossed(spark, sf):
+    """Quality by language and size, with crossed effects of source and of a hash of the id."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = table(spark, sf, "labels").join(docs, "doc_id").withColumns(
+        {"size": F.log1p("n_chars") - 6, "slot": F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string")), "de": (F.col("lang") == "de").cast("int"), "fr": (F.col("lang") == "fr").cast("int")}
+    )
+    formula = Formula("quality", ["de", "fr", "size"], groups=("source", "slot"))
+    return models.fit(rows, formula, "bernoulli", scales={"source": [[0.49]], "slot": [[0.25]]}, **EXACT)
+
+
+@query
+def fit_logit_crossed(spark, sf):
+    return _rounded(models.coef_table(crossed(spark, sf)), "estimate", "se", "lower", "upper")
+
+
+@query
+def ranef_crossed(spark, sf):
+    return _rounded(models.ranef(crossed(spark, sf), "source"), "estimate", "se")
+
+
+@query
+def fit_negbin_given(spark, sf):
+    """Orders of a customer, by segment and nation, over the days between the first and the last one."""
+    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n"), F.ln((F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")) + 1).cast("double")).alias("log_days")
+    )
+    rows = counts.join(table(spark, sf, "customer"), "c_custkey").withColumn("building", (F.col("c_mktsegment") == "BUILDING").cast("int"))
+    formula = Formula("n", ["building"], groups=("c_nationkey",), offset="log_days")
+    return _rounded(models.coef_table(models.fit(rows, formula, "negbinomial", scales={"c_nationkey": [[0.09]]}, shape=2.0, **EXACT)), "estimate", "se", "lower", "upper")
+
+
+@query
+def fit_binom_given(spark, sf):
+    """Returned lines of a part, by its size and brand."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    rows = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count(F.lit(1)).alias("shipped"))
+    rows = rows.join(parts, "l_partkey").withColumn("size", F.col("p_size") / 10 - 2.5)
+    formula = Formula("returned", ["size"], groups=("p_brand",), trials="shipped")
+    return _rounded(models.coef_table(models.fit(rows, formula, "binomial", models.Priors(b=1.0), scales={"p_brand": [[0.04]]}, **EXACT)), "estimate", "se", "lower", "upper")
+
+
+@query
+def fit_gauss_given(spark, sf):
+    """Price of a line by quantity, with a correlated intercept and slope of each return flag and an effect of each line number."""
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") / 10000).alias("price"), ((F.col("l_quantity") - 25) / 10).alias("quantity"), "l_returnflag", "l_linenumber"
+    )
+    formula = Formula("price", ["quantity"], groups=("l_returnflag", "l_linenumber"), slopes={"l_returnflag": "quantity"})
+    priors = models.Priors(b=0.5, intercept=1.0, intercept_df=None)
+    state = models.fit(rows, formula, "gaussian", priors, scales={"l_returnflag": [[0.2, 0.05], [0.05, 0.1]], "l_linenumber": [[0.1]]}, shape=0.9, **EXACT)
+    return _rounded(models.coef_table(state), "estimate", "se", "lower", "upper")
 
 
 def _draws(spark, sf, lo, n):
@@ -152,7 +233,29 @@ def _score(name: str, where: str) -> str:
     return f"""{name} as (select obs, -(ln(avg(exp(-v)))) as elpd, ln(avg(exp(v))) + ln(avg(exp(-v))) as p_loo from ll where {where} group by obs)"""
 
 
+_CROSSED = mode_sql(
+    """select d.doc_id as i, quality as y, 0.0 as off, 1.0 as trials, (lang = 'de')::int as de, (lang = 'fr')::int as fr, ln(1 + n_chars) - 6 as size, source, 's' || (d.doc_id % 7) as slot
+       from labels l join documents d using (doc_id) where quality is not null and lang is not null and n_chars is not null and source is not null""",
+    ["de", "fr", "size"], [Group("source", ((0.49,),)), Group("slot", ((0.25,),))], "bernoulli",
+)
+
 ORACLES = {
+    "fit_logit_crossed": coefficients_sql(_CROSSED),
+    "ranef_crossed": effects_sql(_CROSSED, "source"),
+    "fit_negbin_given": coefficients_sql(mode_sql(
+        """select c_custkey as i, n as y, ln(days) as off, 1.0 as trials, (c_mktsegment = 'BUILDING')::int as building, c_nationkey
+           from (select o_custkey as c_custkey, count(*) as n, date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 as days from orders group by 1) join customer using (c_custkey)""",
+        ["building"], [Group("c_nationkey", ((0.09,),))], "negbinomial", 2.0, steps=14,
+    )),
+    "fit_binom_given": coefficients_sql(mode_sql(
+        """select l_partkey as i, count(*) filter (l_returnflag = 'R') as y, 0.0 as off, count(*) as trials, any_value(p_size) / 10 - 2.5 as size, any_value(p_brand) as p_brand
+           from lineitem join part on l_partkey = p_partkey group by l_partkey""",
+        ["size"], [Group("p_brand", ((0.04,),))], "binomial", b=1.0,
+    )),
+    "fit_gauss_given": coefficients_sql(mode_sql(
+        """select row_number() over () as i, l_extendedprice / 10000 as y, 0.0 as off, 1.0 as trials, (l_quantity - 25) / 10 as quantity, l_returnflag, l_linenumber from lineitem""",
+        ["quantity"], [Group("l_returnflag", ((0.2, 0.05), (0.05, 0.1)), "quantity"), Group("l_linenumber", ((0.1,),))], "gaussian", 0.9, 0.5, 1.0, None, 3,
+    )),
     "posterior_summary": """
         with l as (select label as term, cast(unnest(embedding) as double) as v from embeddings)
         select term, count(*) as n_draws, round_even(avg(v), 6) as estimate, round_even(stddev_samp(v), 6) as est_error,

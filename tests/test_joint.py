@@ -204,3 +204,40 @@ def test_a_hot_level_is_one_line_per_batch(spark, monkeypatch):
     fits = [m.fit(frame(spark, rows, parts), Formula("y", ["x"], groups=("a", "b"))) for parts in (1, 7)]
     assert np.allclose(fits[0].beta, fits[1].beta, atol=1e-5)
     assert fits[0].design.select(F.max("level")).first()[0] is not None
+
+
+def test_counts_are_replicated_by_bisection():
+    from emberline.models import family as fam
+    from emberline.models import special
+
+    rng = np.random.default_rng(1)
+    assert special.beta_share(2, 3, 0.4) == pytest.approx(0.5248) and special.beta_share(5, 1, 0.0) == 0 and special.beta_share(5, 1, 1.0) == 1
+    for family, eta, trials in (("negbinomial", np.log([0.3, 5.0, 40.0]), np.ones(3)), ("binomial", np.array([-2.0, 0.0, 3.0]), np.array([1.0, 12.0, 60.0]))):
+        for u in rng.uniform(size=60):
+            got = compare._replicate(family, np.full(3, u), eta, trials, 1.7)
+            for k in range(3):
+                mass = np.exp(fam.log_lik(family, np.arange(4000.0 if family == "negbinomial" else trials[k] + 1), eta[k], trials[k], 1.7))
+                assert got[k] == np.searchsorted(np.cumsum(mass), min(u, 1 - 1e-12))
+    big = compare._replicate("negbinomial", rng.uniform(size=20_000), np.full(20_000, np.log(5000.0)), np.ones(20_000), 2.0)
+    assert abs(big.mean() - 5000) < 150 and abs(big.std() - np.sqrt(5000 + 5000**2 / 2)) < 150
+
+
+def test_explained_variance_of_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    f = 1e6 + rng.normal(size=(500, 7))
+    y = f[:, 0] + rng.normal(size=500)
+    rows = [(float(y[k]) if k % 9 else None, f[k].tolist() if k % 11 else None) for k in range(500)]
+    got = compare.bayes_r2(spark.createDataFrame(rows, "y double, fitted array<double>").repartition(6)).first()
+    some, both = np.array([r[1] for r in rows if r[1]]), [r for r in rows if r[1] and r[0] is not None]
+    vf = some.var(0, ddof=1)
+    vr = (np.array([r[0] for r in both])[:, None] - np.array([r[1] for r in both])).var(0, ddof=1)
+    assert got["n_draws"] == 7 and got["estimate"] == pytest.approx((vf / (vf + vr)).mean(), rel=1e-9)
+
+
+def test_predictive_check_of_a_gaussian_fit(spark):
+    f = m.fit(frame(spark, sample("gaussian", n=300)), Formula("y", ["x"], groups=("b",)), "gaussian", keep=["i"])
+    rows = compare.ppc(f, "i", 5).collect()
+    totals = {d: sum(r["n"] for r in rows if r["draw"] == d) for d in range(6)}
+    assert set(totals.values()) == {300} and len({r["value"] for r in rows if r["draw"] == 0}) > 20
+    mean = lambda d: sum(r["value"] * r["n"] for r in rows if r["draw"] == d) / 300
+    assert all(abs(mean(d) - mean(0)) < 0.5 for d in range(1, 6))
