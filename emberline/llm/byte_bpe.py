@@ -25,14 +25,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .token_counts import batches_by_bytes
+from .token_counts import BeforeSpaces, batches_by_bytes
 
+#: Fixed value: the pattern whose pieces always begin at a lone space.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a chunk, and what it sees of the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: A match that starts closer to the end of a chunk than the longest fixed alternative may be another one ('re).
 AHEAD = 3
 #: Pieces in each of the two generations that a worker remembers; longer pieces than LONG are encoded each time.
-MEMORY, LONG = 500_000, 64
+MEMORY, LONG = 200_000, 64
 #: Bytes of text that are encoded at once.
 BATCH = 4_000_000
 
@@ -72,8 +74,14 @@ class Codec:
         # Its pattern takes the whole input, so it merges one piece at a time.
         merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = regex.compile(pattern).findall
-        self.memory = Memory(lambda piece: tuple(merge(piece)))
-        self.token = {rank: token for token, rank in ranks.items()}
+        #: The ids of a stretch of whole pieces as bytes.
+        self.memory = Memory(lambda stretch: array("i", chain.from_iterable(map(merge, self.pieces(stretch)))).tobytes())
+        self.merged = Memory(lambda piece: array("i", merge(piece)).tobytes())
+        self.spaced = pattern == BYTE_LEVEL
+        tokens = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.binary())
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -81,16 +89,55 @@ class Codec:
             _workers[path, pattern] = cls(path, pattern)
         return _workers[path, pattern]
 
-    def encode(self, pieces) -> array:
-        return array("i", chain.from_iterable(map(self.memory.__getitem__, pieces)))
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
-
-def lists(rows: list[array]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(r.tobytes() for r in rows), np.int32)))
+    def encode(self, pieces) -> bytes:
+        return b"".join(map(self.merged.__getitem__, pieces))
+
+    def texts(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of whole texts without NULLs: each text is a row of stretches, of which the distinct ones are encoded."""
+        stretches = stretches_of(texts) if self.spaced else pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
+        at = stretches.offsets.to_numpy().astype(np.int64)
+        coded = stretches.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        known = [self.memory[s] for s in coded.dictionary.to_pylist()]
+        self.memory.trim()
+        ends = np.concatenate([[0], np.cumsum(np.array([len(k) for k in known] or [0], np.int64)[coded.indices.to_numpy()])]) // 4 if len(coded) else np.zeros(1, np.int64)
+        ids = pa.array(known, pa.binary()).take(coded.indices).buffers()[2] if ends[-1] else b""
+        return lists(ids, ends[at - at[0]])
+
+    def decode(self, rows: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each row of ids, which lie one behind another as their tokens do."""
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(), dtype=np.int64)])
+        ids = rows.flatten()
+        known = len(ids) == 0 or 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(self.tokens)
+        found = self.tokens.take(ids) if known else None
+        if not known or ids.null_count or found.null_count:
+            raise ValueError("an id that the vocabulary lacks")
+        if not len(found):
+            return pa.array([b""] * len(rows), pa.binary())
+        _, begins, data = found.buffers()
+        begins = np.frombuffer(begins, np.int32, len(found) + 1)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(begins[at].tobytes()), data])
+
+
+def stretches_of(texts: pa.Array) -> pa.ListArray:
+    """Texts cut where the byte-level pattern always begins a piece, whatever stands around: at lone spaces and line breaks."""
+    odd = pc.match_substring_regex(texts, BeforeSpaces.odd)
+    rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    plain = BeforeSpaces.plain(texts.filter(pc.invert(odd)) if len(rows) else texts)
+    if not len(rows):
+        return plain
+    slow = pa.array([BeforeSpaces.odd_text(t) for t in texts.take(pa.array(rows)).to_pylist()], plain.type)
+    place = np.empty(len(texts), np.int64)
+    place[rows] = len(plain) + np.arange(len(rows))
+    place[np.setdiff1d(np.arange(len(texts)), rows)] = np.arange(len(plain))
+    return pa.concat_arrays([plain, slow]).take(pa.array(place))
+
+
+def lists(ids, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(ids, np.int32, ends[-1])))
+
+
+def id_lists(rows: list[bytes]) -> pa.ListArray:
+    return lists(b"".join(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]) // 4)
 
 
 def encode(
@@ -113,9 +160,7 @@ def encode(
         codec = Codec.of(path, pattern)
         for whole in batches:
             for batch in batches_by_bytes(whole, 1, BATCH):
-                ids = [codec.encode(codec.pieces(t)) for t in batch.column(1).to_pylist()]
-                codec.memory.trim()
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids)], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), codec.texts(batch.column(1))], ["id", "ids"])
 
     short = rows.filter(~long).mapInArrow(run, "id long, ids array<int>")
     return short.unionByName(encode_long(rows.filter(long), path, pattern, chunk, overlap)).withColumnRenamed("id", id_col)
@@ -189,8 +234,8 @@ def encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: i
                 ends = list(accumulate(map(len, pieces)))
                 first = 0 if lo == 0 else ends.index(lo) + 1
                 ids.append(codec.encode(islice(pieces, first, len(pieces) if met is None else ends.index(chunk + met) + 1)))
-            codec.memory.trim()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3, 7)), lists(ids)], ["id", "h", "k", "copies", "ids"])
+            codec.merged.trim()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3, 7)), id_lists(ids)], ["id", "h", "k", "copies", "ids"])
 
     shape = "id long, h string, k int, copies long, ids array<int>"
     apart = marked.filter("not whole").select("chunk", "lo", "met", *key, "k", "copies").repartition(*key, "k").mapInArrow(spans, shape)
@@ -219,8 +264,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH // 4, side="right")))
                 batch = whole.slice(at, to - at)
                 at = to
-                data = [codec.decode(ids or ()) for ids in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], [id_col, "ids", "data"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codec.decode(batch.column(1))], [id_col, "ids", "data"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, ids array<int>, data binary")
 
@@ -229,7 +273,9 @@ def op12_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    # Written in between, so that a task never holds two Python workers.
+    ids = Workspace(spark, "byte-bpe").keep(encode(table(spark, sf_dir, "documents"), path, pattern), "ids")
+    out = decode(ids, path, pattern)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")

@@ -121,7 +121,7 @@ def test_chunks_give_the_ids_of_whole_texts(spark, library):
     rows += [rows[5], rows[5], (None, texts[7], b"", 1), (None, texts[7], b"", 1), (5, "other " * 30, b"", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, data binary, ids int").repartition(3)
     want = sorted(((d is None, d or 0, t or "", library.encode_ordinary(t or "")) for d, t, *_ in rows))
-    for chunk, overlap in ((41, 12), (17, 5), (64, 63)):
+    for chunk, overlap in ((41, 12), (17, 5), (64, 63), (bb.CHUNK, bb.OVERLAP)):
         coded = bb.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap)
         got = bb.decode(coded, RANKS, PATTERN).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.data).decode(), r.ids) for r in got) == want
@@ -150,10 +150,13 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
 
 
 def test_decoding_any_ids(spark):
-    df = spark.createDataFrame([(1, [128, 200]), (2, None), (3, [])], "doc_id long, ids array<int>")
-    codec = bb.Codec.of(RANKS, PATTERN)
-    got = {r.doc_id: bytes(r.data) for r in bb.decode(df, RANKS, PATTERN).collect()}
-    assert got == {1: codec.token[128] + codec.token[200], 2: b"", 3: b""}
+    df = spark.createDataFrame([(1, [128, 200]), (2, None), (3, []), (4, [50255])], "doc_id long, ids array<int>").coalesce(1)
+    token = bb.Codec.of(RANKS, PATTERN).tokens.to_pylist()
+    for rows in (df, df.filter("doc_id in (2, 3)")):
+        got = {r.doc_id: bytes(r.data) for r in bb.decode(rows, RANKS, PATTERN).collect()}
+        assert got.items() <= {1: token[128] + token[200], 2: b"", 3: b"", 4: token[50255]}.items() and len(got) > 1
+    with pytest.raises(Exception, match="lacks"):
+        bb.decode(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>"), RANKS, PATTERN).collect()
 
 
 # Vector codes ----------------------------------------------------------------
