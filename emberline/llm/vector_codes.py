@@ -63,6 +63,8 @@ class Cells:
 
     def __init__(self, book: np.ndarray):
         self.book, self.side = book, cell_side(book)
+        self.real = book.astype(np.float64)
+        self.norm = (self.real**2).sum(1)
         self.young: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
 
@@ -93,15 +95,28 @@ class Cells:
         return entries
 
     def undominated(self, cells: np.ndarray) -> list[np.ndarray]:
-        """For each cell the entries, ascending, that no other one is nearer than all over the cell's box."""
-        out = []
-        for lo in range(0, len(cells), 128):
-            low = cells[lo : lo + 128, None, :] * self.side
-            below, above = low - self.book, self.book - (low + self.side - 1)
-            least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(-1)
-            most = (np.maximum(np.abs(below), np.abs(above)) ** 2).sum(-1)
-            out += [np.flatnonzero(near).astype(np.int64) for near in least <= most.min(1, keepdims=True)]
-        return out
+        """For each cell the entries, ascending, that no other one is nearer than all over the cell's box.
+
+        A box lies in a ball, so one matrix product rules out most entries; the
+        others are compared by their exact distances to the box.
+        """
+        if not len(cells):
+            return []
+        width = self.book.shape[1]
+        middle = cells * float(self.side) + (self.side - 1) / 2
+        norm = (middle**2).sum(1)[:, None] + self.norm
+        d = np.maximum(norm - 2.0 * (middle @ self.real.T), 0.0)
+        diameter = (self.side - 1) * np.sqrt(width)
+        reach = (np.sqrt(d.min(1, keepdims=True)) + diameter) ** 2
+        # Above any rounding of the product.
+        row, entry = np.nonzero(d <= reach * (1 + 1e-9) + norm * (4 * width + 16) * 2.0**-52)
+        low = cells[row] * self.side
+        below, above = low - self.book[entry], self.book[entry] - (low + self.side - 1)
+        least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(1)
+        most = (np.maximum(np.abs(below), np.abs(above)) ** 2).sum(1)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        keep = least <= np.minimum.reduceat(most, first)[row]
+        return np.split(entry[keep], np.cumsum(np.bincount(row[keep], minlength=len(cells)))[:-1])
 
 
 def cell_side(book: np.ndarray) -> int:
