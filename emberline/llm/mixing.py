@@ -96,9 +96,9 @@ def schedule(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 0,
+    weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 0, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, size, source_size, target, taken) for every row of ``docs``.
+    """(id, size, source_size, target, taken) for every row of ``docs``, and the columns that ``carry`` names.
 
     ``size`` counts words; NULL and empty texts have 0 and take 0. A NULL source
     is a source of its own, last in order. Rows with a NULL id are placed like
@@ -111,7 +111,7 @@ def mix(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(text))).alias("h"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(text))).alias("h"), *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
     rows = ws.keep(rows, "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -134,10 +134,39 @@ def mix(
     some = rows.filter("size > 0").join(taken, ["place", "at"], "left")
     none = rows.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
     return some.unionByName(none).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry]
     )
 
 
+def copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """(row, copies): how often the mix takes each row of ``docs`` as a whole; ``row_col`` tells rows apart.
+
+    A row is taken as often as the mix takes all of its words. What a source then
+    lacks of its target goes to its rows, those whose last copy is taken in the
+    largest part first, until the next row would miss the target by more than it
+    mends. No row is taken more than ``epochs`` times. Rows that repeat add up;
+    rows never taken are left out.
+    """
+    ws = Workspace(docs.sparkSession, "copies")
+    rows = docs.select(id_col, text_col, source_col, row_col, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("of"))
+    taken = mix(rows, id_col, text_col, source_col, carry=(row_col, "of"), **options).filter("size > 0")
+    whole = F.floor(F.col("taken") / F.col("size"))
+    part = (F.col("taken") - whole * F.col("size")) / F.col("size")
+    taken = ws.keep(taken.select(F.col(row_col).alias("row"), F.col("of").alias("source"), "size", "target", whole.cast("int").alias("whole"), part.alias("part")), "taken")
+    lack = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"), F.count(F.lit(1)).alias("n"))
+    lack = ws.keep(lack, "lack")
+    # Parts in steps of 1/32, and within a step by hash, in about sqrt(n) / 4 cells.
+    lead = F.conv(F.substring(F.md5("row"), 1, 7), 16, 10).cast("long")
+    open_rows = taken.filter(F.col("whole") < options.get("epochs", EPOCHS)).join(lack, "source").withColumn("turn", F.floor((1 - F.col("part")) * 32))
+    cells = F.ceil(F.sqrt("n") / 4)
+    open_rows = open_rows.withColumn("cell", F.col("turn") * cells + F.floor(lead * cells / (1 << 28)))
+    order = [F.md5("row"), "row"]
+    placed = in_cells(open_rows.select("source", "cell", "row", "size", "lack"), "source", "cell", order, F.col("size"))
+    more = placed.filter(F.col("before") + F.col("size") / 2 <= F.col("lack")).select("row", F.lit(1).alias("copies"))
+    out = taken.filter("whole > 0").select("row", F.col("whole").alias("copies")).unionByName(more)
+    return out.groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).withColumnRenamed("row", row_col)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -6,9 +6,10 @@ vectors of at most ``radius`` differing positions cannot span the space, so some
 non-zero v is orthogonal to all of them, and in that table both fingerprints have
 the same key. All 2^(radius + 1) - 1 tables together miss no pair.
 
-Rows of one key are linked in numpy: small buckets by comparing all rows, larger
-ones by a search that compares each reached row with the rows not reached yet.
-Both are exact and give a spanning forest, never all pairs.
+Fingerprints of one key are linked in numpy: small buckets by comparing all,
+larger ones by a search that compares each reached one with those not reached
+yet. Both are exact and give a spanning forest, never all pairs. Buckets beyond
+HOT are divided by single-bit neighbours instead, which is exact too.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, components, spanning, table
-from .token_counts import batches_by_bytes
 
 SEED = 42
 #: A bucket of more rows is searched instead of compared row by row at fixed distances.
 SMALL = 16
+#: Fingerprints of one key that a task gathers.
+HOT = 100_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -64,108 +66,17 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(list(values), np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs(id, text)`` to (id, fp)."""
+def fingerprints(docs: DataFrame, size: int = 3, *carried: str) -> DataFrame:
+    """``docs(id, text)`` to (id, fp), with the ``carried`` columns behind."""
 
     def run(batches):
         for batch in batches:
             fps = _signed(fingerprint(t, size) for t in batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], ["id", "fp", *carried])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, fp long")
-
-
-def small(batches, text: int):
-    """Parts of ``batches`` with about 2 MB of the text column each, as word lists are many times larger."""
-    for batch in batches:
-        yield from batches_by_bytes(batch, text, 2_000_000)
-
-
-#: Ends of links up to which they are sent to all executors instead of shuffling the texts.
-ENDS = 1_000_000
-
-
-def order_sample(docs: DataFrame, size: int, texts: int = 5_000, least: int = 4, most: int = 200_000) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample hold; they come last in the order of prefixes.
-
-    Any order gives the same pairs; this one keeps common lines out of the buckets.
-    """
-
-    def run(batches):
-        for batch in small(batches, 0):
-            sets = [np.unique(shingle_hashes(words_of(t), size)) for t in batch.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    step = max(1, docs.count() // texts)
-    some = docs.filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).select("text").distinct()
-    seen = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    found = seen.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column(0).to_numpy()
-    return np.sort(np.asarray(found, np.int64).view(np.uint64))
-
-
-def prefix(shingles: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n sorted distinct shingles, those of ``last`` after all others.
-
-    Sets of similarity 0.8 share at least ceil(0.8 n), so their prefixes share one.
-    """
-    n = len(shingles)
-    at = np.searchsorted(last, shingles)
-    late = last[np.minimum(at, len(last) - 1)] == shingles if len(last) else np.zeros(n, bool)
-    return np.concatenate([shingles[~late], shingles[late]])[: n - (4 * n + 4) // 5 + 1]
-
-
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the shingles that fall on it: sets that differ in d shingles differ in at most d bits."""
-    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-#: Columns of the parity bits.
-PARITY = ["p0", "p1", "p2", "p3"]
-
-
-def sketches(docs: DataFrame, size: int, last: np.ndarray) -> DataFrame:
-    """``docs(id, k, text)`` to (id, k, fp, w0, w1, n, p0 to p3, prefix): fp from the distinct words, the others from shingles of ``size``.
-
-    A changed word changes one word but ``size`` shingles, so fp stays near for
-    texts whose shingles are similar, while w0 and w1 estimate how similar they
-    are. n counts distinct shingles, of which ``prefix`` holds the first.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(last)
-
-    def run(batches):
-        for batch in small(batches, 2):
-            words = [words_of(t) for t in batch.column(2).to_pylist()]
-            fp = _signed(majority(shingle_hashes(list(set(w)), 1)) for w in words)
-            first = [shingle_hashes(w, size) for w in words]
-            sets = [np.unique(h) for h in first]
-            wide = [_signed(map(majority, first)), _signed(majority(shingle_hashes(w, size, SEED + 1)) for w in words)]
-            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, 4)
-            heads = pa.array([prefix(x, held.value).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            cols = [batch.column(0), batch.column(1), fp, *wide, pa.array([len(x) for x in sets], pa.int64()), *[pa.array(bits[:, k]) for k in range(4)], heads]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "k", "fp", "w0", "w1", "n", *PARITY, "prefix"])
-
-    return docs.select("id", "k", "text").mapInArrow(run, "id long, k string, fp long, w0 long, w1 long, n long, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
-
-
-def similar(edges: DataFrame, docs: DataFrame, size: int, ws: Workspace) -> DataFrame:
-    """Those of ``edges(a, b)`` between texts of ``docs(vertex, text)`` whose shingles of ``size`` words have Jaccard similarity >= 0.8."""
-
-    def run(batches):
-        for batch in small(batches, 1):
-            sets = [np.unique(shingle_hashes(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "s"])
-
-    ends = ws.keep(edges.select(F.col("a").alias("vertex")).union(edges.select("b")).distinct(), "ends")
-    ends = F.broadcast(ends) if ends.count() <= ENDS else ends
-    texts = docs.join(ends, "vertex", "left_semi").dropDuplicates(["vertex"])
-    sets = ws.keep(texts.select("vertex", "text").mapInArrow(run, "vertex long, s array<long>"), "sets")
-    both = edges.join(sets.select(F.col("vertex").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("vertex").alias("b"), F.col("s").alias("y")), "b")
-    # |x & y| / |x | y| >= 4/5 in whole numbers.
-    out = ws.keep(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
-    ws.drop(sets)
-    return out
+    rows = docs.select("id", "text", *carried)
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(run, f"id long, fp long{kinds}")
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -177,11 +88,11 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
 
 
 def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1) <= most
+    return np.bitwise_count(x ^ y) <= most
 
 
-def bucket_links(keys: np.ndarray, vertex: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) within runs of equal keys, enough to join all that are linked."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between fingerprints of runs of equal keys, enough to join all that differ in at most ``most`` bits."""
     bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     length = np.diff(bounds)
     size = np.repeat(length, length)
@@ -190,54 +101,88 @@ def bucket_links(keys: np.ndarray, vertex: np.ndarray, sketch: np.ndarray, most:
         i = np.flatnonzero((size[:-step] <= SMALL) & (keys[:-step] == keys[step:])) if step < len(keys) else np.zeros(0, int)
         if not len(i):
             break
-        i = i[_near(sketch[i], sketch[i + step], most)]
-        a.append(vertex[i])
-        b.append(vertex[i + step])
+        i = i[_near(fps[i], fps[i + step], most)]
+        a.append(fps[i])
+        b.append(fps[i + step])
     for k in np.flatnonzero(length > SMALL):
-        rest = np.arange(bounds[k], bounds[k + 1])
+        rest = fps[bounds[k] : bounds[k + 1]]
         while len(rest) > 1:
             reached, rest = [rest[0]], rest[1:]
             while reached and len(rest):
                 at = reached.pop()
-                near = _near(sketch[rest], sketch[at], most)
+                near = _near(rest, at, most)
                 new, rest = rest[near], rest[~near]
                 reached.extend(new)
-                a.append(np.full(len(new), vertex[at]))
-                b.append(vertex[new])
-    none = np.zeros(0, np.int64)
+                a.append(np.full(len(new), at))
+                b.append(new)
+    none = np.zeros(0, fps.dtype)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def covering_links(points: DataFrame, radius: int, sketch: list[str], most: int) -> DataFrame:
-    """Edges (a, b) between ``points(vertex, fp, *sketch)`` that share a covering key and whose sketches differ in at most ``most`` bits.
+def covering_links(points: DataFrame, radius: int, ws: Workspace, most: int = HOT) -> DataFrame:
+    """Edges (a, b) that join the distinct fingerprints ``points(fp)`` within ``radius`` bits of each other.
 
-    With the fingerprint itself as sketch and ``most`` = ``radius`` this joins
-    exactly the pairs within the radius.
+    A key with more than ``most`` fingerprints is not gathered: its task passes
+    them on one batch at a time, and they meet at the fingerprints one bit away,
+    where at most 65 can. Two fingerprints within two bits share one of these.
+    For a larger radius that would not hold, and a key is always gathered.
     """
+    if radius > 2:
+        most = 1 << 62
 
     def run(batches):
-        held = None
+        # Parts of the key that the batches so far end with, and the key that is passed on.
+        held, n, hot = [], 0, None
         for batch in batches:
-            cols = [np.asarray(batch.column(k)) for k in range(batch.num_columns)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+            key, fp = (np.asarray(c) for c in batch.columns)
+            own = np.searchsorted(key, hot, side="right") if hot is not None else 0
+            if own:
+                yield spread(fp[:own])
+                key, fp = key[own:], fp[own:]
+            if not len(key):
+                continue
+            last, hot = np.searchsorted(key, key[-1]), None
             if last:
-                yield links([c[:last] for c in held])
-                held = [c[last:] for c in held]
-        if held is not None and len(held[0]):
+                yield links([*held, (key[:last], fp[:last])])
+            elif held and held[0][0][0] != key[0]:
+                yield links(held)
+            if last or held and held[0][0][0] != key[0]:
+                held, n = [], 0
+            held.append((key[last:], fp[last:]))
+            n += len(key) - last
+            if n > most:
+                yield spread(np.concatenate([part for _, part in held]))
+                held, n, hot = [], 0, key[-1]
+        if held:
             yield links(held)
 
-    def links(cols):
-        sketch = np.stack([c.view(np.uint64) for c in cols[2:]], axis=1)
-        a, b = spanning(*bucket_links(cols[0], cols[1], sketch, most))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def links(parts):
+        key, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        large = np.repeat(np.diff(bounds) > most, np.diff(bounds))
+        a, b = spanning(*(x.view(np.int64) for x in bucket_links(key[~large], fp[~large].view(np.uint64), radius)))
+        many = fp[large]
+        cols = [np.concatenate([a, many]), np.concatenate([b, many]), np.repeat([False, True], [len(a), len(many)])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "hot"])
+
+    def spread(fp):
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(fp), pa.array(np.ones(len(fp), bool))], ["a", "b", "hot"])
 
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
-    keyed = (
-        points.select("vertex", "fp", *[c for c in sketch if c != "fp"], F.explode(masks).alias("mask"))
-        .select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "vertex", *sketch)
-    )
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    keyed = points.select("fp", F.explode(masks).alias("mask")).select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+    found = ws.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot boolean"), "met")
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
+    beside = found.filter("hot").select(F.col("a").alias("fp")).distinct().select("fp", F.explode(flips).alias("flip"))
+    beside = beside.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    close = beside.select(F.col("fps")[0].alias("a"), F.explode("fps").alias("b"))
+    return found.filter("not hot").select("a", "b").unionByName(close).filter("a <> b").distinct()
+
+
+def classes_of(rows: DataFrame, radius: int, ws: Workspace) -> DataFrame:
+    """(fp, label) of the distinct fingerprints of ``rows(fp)``: equal labels where links reach."""
+    points = rows.select("fp").distinct()
+    labels = components(covering_links(points, radius, ws), ws).select(F.col("id").alias("fp"), F.col("component").alias("label"))
+    return points.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -247,149 +192,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links reach. NULL and empty texts have fingerprint 0 and link like any other.
     Rows with a NULL id keep a row; their component is the smallest id reached,
     NULL where there is none. Repeated rows are kept each. Texts shorter than a
-    shingle are one shingle. Equal fingerprints are one vertex, so copies cost no
-    pairs. An empty table gives an empty one; other columns are not read.
+    shingle are one shingle, and texts of any length are read whole. Equal
+    fingerprints are one vertex, so copies cost no pairs. An empty table gives an
+    empty one; other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = ws.keep(fingerprints(rows, words), "fingerprints")
     points = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = covering_links(points.select(F.col("fp").alias("vertex"), "fp"), radius, ["fp"], radius)
-    labels = components(edges, ws).withColumnRenamed("id", "fp")
-    classes = points.join(labels, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
+    classes = points.join(classes_of(points, radius, ws), "fp")
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
     classes = classes.join(least, "label").select("fp", "component")
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
-#: Bits of the word fingerprints that the covering tables span.
-STAGE_RADIUS = 6
-#: Bits of 128 that linked sketches of five-word shingles differ in; each such link is verified.
-STAGE_MOST = 25
-#: Rows of a hot shingle that are compared with each other in one task, and rows at a time.
-BLOCK, SLICE = 2048, 256
-
-
-def by_key(batches):
-    """Columns of whole runs of the first column, which is sorted; a run over many batches is joined once."""
-    held = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch.column(k)) for k in range(batch.num_columns)]
-        key = cols[0]
-        if held and key[0] != held[-1][0][-1]:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        cut = np.searchsorted(key, key[-1])
-        if cut:
-            held.append([c[:cut] for c in cols])
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        held.append([c[cut:] for c in cols])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def shared_prefixes(keys: DataFrame) -> DataFrame:
-    """(a, b, hot): pairs of ``keys(key, vertex, n, label)`` of one key with different labels and n within 0.8.
-
-    Keys with more than SMALL rows are not paired: their rows come as (key, vertex, true).
-    """
-
-    def links(cols):
-        keys, vertex, n, label = cols
-        bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        length = np.diff(bounds)
-        size = np.repeat(length, length)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(1, min(SMALL, len(keys))):
-            i = np.flatnonzero((size[:-step] <= SMALL) & (keys[:-step] == keys[step:]) & (label[:-step] != label[step:]))
-            j = i + step
-            near = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-            a.append(np.minimum(vertex[i], vertex[j])[near])
-            b.append(np.maximum(vertex[i], vertex[j])[near])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        many = [k for k in np.flatnonzero(length > SMALL) if (label[bounds[k] : bounds[k + 1]] != label[bounds[k]]).any()]
-        rows = np.concatenate([np.zeros(0, np.int64), *[np.arange(bounds[k], bounds[k + 1]) for k in many]])
-        hot = np.repeat([False, True], [len(pairs), len(rows)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], keys[rows]])), pa.array(np.concatenate([pairs[:, 1], vertex[rows]])), pa.array(hot)], ["a", "b", "hot"])
-
-    def run(batches):
-        for cols in by_key(batches):
-            yield links(cols)
-
-    return keys.select("key", "vertex", "n", "label").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot boolean")
-
+def representatives(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """(key): one of each group that links join, the row with the smallest id, then key; NULL ids come last.
 
-def hot_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) of ``rows(key, vertex, n, label, p0 to p3)`` of one key with different labels whose n and parity bits allow similarity 0.8.
-
-    The rows of a key are dealt into blocks, and each two blocks meet in a task.
+    ``key_col`` tells rows apart (a digest of the row); rows of one key are one.
+    An empty table gives an empty one.
     """
-
-    def run(batches):
-        for cols in by_key(batches):
-            bounds = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1], [True]]))
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                vertex, n, label = (c[lo:hi] for c in cols[1:4])
-                bits = np.stack([c[lo:hi].view(np.uint64) for c in cols[4:]])
-                for at in range(0, hi - lo, SLICE):
-                    x = slice(at, at + SLICE)
-                    apart = sum(np.bitwise_count(w[x, None] ^ w[None, :]).astype(np.int64) for w in bits)
-                    ok = (label[x, None] < label[None, :]) & (5 * np.minimum(n[x, None], n) >= 4 * np.maximum(n[x, None], n)) & (9 * apart <= n[x, None] + n)
-                    i, j = np.nonzero(ok)
-                    i = i + at
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(vertex[i], vertex[j])), pa.array(np.maximum(vertex[i], vertex[j]))], ["a", "b"])
-
-    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
-    own = rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int"))
-    met = own.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    met = met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "vertex", "n", "label", *PARITY)
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = STAGE_RADIUS, most: int = STAGE_MOST) -> DataFrame:
-    """(id, k, component, kept): a row for each id and text hash; ``kept`` marks one of each group of near copies.
-
-    ``component`` is the smallest id of the group, NULL where none of its rows
-    has one; kept is the smallest id, then the smallest text hash. Equal texts
-    are one vertex. Two texts link exactly if the Jaccard similarity of their
-    shingles of ``size`` words is 0.8 or more. Covering tables and SimHash join
-    most copies by few links; a prefix filter then finds every other pair of
-    different groups. All links are verified. NULL texts count as empty.
-    """
-    ws = Workspace(docs.sparkSession, "near-copies")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("k"), text.alias("text"))
-    texts = source.select(F.xxhash64("k").alias("vertex"), "text")
-    rows = ws.keep(sketches(source, size, order_sample(source, size)), "sketches")
-    points = rows.groupBy("k").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "w0", "w1", "n", *PARITY)], F.first("prefix").alias("prefix"))
-    points = ws.keep(points.withColumn("vertex", F.xxhash64("k")), "points")
-    close = ws.keep(covering_links(points, radius, ["w0", "w1"], most), "close")
-    edges = similar(close, texts, size, ws)
-    labels = components(edges, ws).withColumnRenamed("id", "vertex").withColumnRenamed("component", "label")
-    labelled = points.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-    labelled = ws.keep(labelled.select("vertex", "n", *PARITY, "label", "prefix"), "labelled")
-    shared = ws.keep(shared_prefixes(labelled.select(F.explode("prefix").alias("key"), "vertex", "n", "label")), "shared")
-    bits = labelled.drop("prefix")
-    hot = shared.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("vertex")).join(bits, "vertex")
-    hot = hot_pairs(ws.keep(hot.select("key", "vertex", "n", "label", *PARITY), "hot"))
-    end = lambda v: bits.select(F.col("vertex").alias(v), F.col("n").alias(f"n_{v}"), *[F.col(p).alias(f"{p}_{v}") for p in PARITY])
-    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
-    cold = shared.filter("not hot").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").filter(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b")
-    candidates = ws.keep(cold.union(hot).distinct(), "candidates")
-    ws.drop(close, shared)
-    rest = similar(candidates, texts, size, ws)
-    labels = components(edges.union(rest), ws).withColumnRenamed("id", "vertex")
-    classes = points.join(labels, "vertex", "left").select("k", "least", F.coalesce("component", "vertex").alias("label"))
-    # NULL ids come after all others.
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k")).alias("first")
-    groups = classes.groupBy("label").agg(first).select("label", F.col("first.least").alias("component"), F.col("first.k").alias("chosen"))
-    classes = classes.join(groups, "label").select("k", "component", "chosen")
-    out = rows.select("id", "k").distinct().join(classes, "k")
-    return out.select("id", "k", "component", (F.col("id").eqNullSafe(F.col("component")) & (F.col("k") == F.col("chosen"))).alias("kept"))
+    ws = Workspace(docs.sparkSession, "simhash")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key"))
+    rows = ws.keep(fingerprints(rows, words, "key"), "fingerprints")
+    first = lambda c: F.min(c).alias("first")
+    points = ws.keep(rows.groupBy("fp").agg(first(F.struct(F.col("id").isNull().alias("none"), "id", "key"))), "points")
+    return points.join(classes_of(points, radius, ws), "fp").groupBy("label").agg(first("first")).select(F.col("first.key").alias(key_col))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -62,8 +62,12 @@ def test_bucket_links_join_all_pairs():
     for size in (2, 5, 16, 17, 80):
         base = rng.integers(0, 2**63, 3, dtype=np.uint64)
         fps = np.array([base[k % 3] ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for k in range(size)])
+        fps = np.unique(fps)
+        size = len(fps)
         keys = np.zeros(size, np.int64)
-        a, b = sh.bucket_links(keys, np.arange(size), fps[:, None], 2)
+        a, b = sh.bucket_links(keys, fps, 2)
+        at = {int(f): k for k, f in enumerate(fps)}
+        a, b = (np.array([at[int(x)] for x in c], int) for c in (a, b))
         near = [(i, j) for i in range(size) for j in range(i + 1, size) if bin(int(fps[i] ^ fps[j])).count("1") <= 2]
         assert joined(size, zip(a.tolist(), b.tolist(), strict=True)) == joined(size, near)
         assert len(a) <= max(size, sh.SMALL * sh.SMALL)
@@ -99,73 +103,34 @@ def test_simhash_of_odd_rows(spark):
     assert sh.simhash_components(df.limit(0)).count() == 0
 
 
-def test_near_copies(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    base = [[word() for _ in range(400)] for _ in range(12)]
-    rows = []
-    for k, words in enumerate(base):
-        rows.append((10 * k, " ".join(words)))
-        for c in range(1, 4):
-            copy = list(words)
-            for _ in range(c):
-                copy[rng.randrange(400)] = word()
-            rows.append((10 * k + c, " ".join(copy)))
-    rows += [(500, " ".join(base[0])), (None, " ".join(base[1])), (None, "alone"), (501, None), (502, "")]
-    got = sh.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.id: r.component for r in got if r.id is not None and r.id < 500} == {10 * k + c: 10 * k for k in range(12) for c in range(4)}
-    assert sorted((r.id is None, r.id) for r in got if r.kept) == [*[(False, 10 * k) for k in range(12)], (False, 501), (True, None)]
-
-
-def shingles(text, size=5):
-    words = text.lower().split()
-    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
-
-
-def edited_texts():
-    """Short and long texts with replaced words, appended and cut passages, pairs around 0.8, and one hot group with a common line."""
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    some = lambda n: [word() for _ in range(n)]
-    out = []
-    for n in (8, 12, 30, 60, 120, 250):
-        for _ in range(6):
-            base = some(n)
-            out.append(base)
-            for share in (0.03, 0.1, 0.16, 0.19, 0.22, 0.3):
-                extra = max(1, round(n * share))
-                out += [base + some(extra), some(extra) + base, base[: n - extra]]
-            for changes in (1, 2, max(1, n // 50), max(1, n // 40), max(1, n // 30)):
-                copy = list(base)
-                for _ in range(changes):
-                    copy[rng.randrange(n)] = word()
-                out.append(copy)
-    line, base = some(9), some(80)
-    for k in range(60):
-        out.append(base + some(k % 25))
-        out.append(line + some(20 + k % 7))
-    return [" ".join(w) for w in out]
-
-
-def test_near_copies_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(sh, "BLOCK", 20, raising=False)
-    texts = edited_texts()
-    sets = [shingles(t) for t in texts]
-    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    got = sh.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    first = {t: k for k, t in reversed(list(enumerate(texts)))}
-    want = joined(len(texts), near + [(first[t], k) for k, t in enumerate(texts)])
-    assert {r.id: r.component for r in got} == dict(enumerate(want))
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.sets(st.integers(0, 400), min_size=1), st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400)))
-def test_prefix_and_parity_miss_no_pair(x, flips, late):
-    y = x ^ set(sorted(flips)[: max(1, len(x) // 6)])
-    a, b, last = (np.array(sorted(s), np.uint64) for s in (x, y, late))
-    if y and 5 * len(x & y) >= 4 * len(x | y):
-        assert set(sh.prefix(a, last)) & set(sh.prefix(b, last))
-    assert np.bitwise_count((sh.parity(a) ^ sh.parity(b)).view(np.uint64)).sum() <= len(x ^ y)
+@pytest.mark.parametrize("most", [1, 3, 20, 100_000])
+def test_hot_keys_join_what_all_pairs_join(spark, most):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63, 3)
+    fps = []
+    for k in range(400):
+        fp = int(base[k % 3]) & (2**64 - 1)
+        for _ in range(int(rng.integers(0, 5))):
+            fp ^= 1 << int(rng.integers(64))
+        fps.append(fp)
+    fps = sorted(set(fps))
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2]
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    points = spark.createDataFrame([(f,) for f in signed], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        edges = sh.covering_links(points, 2, Workspace(spark, "t"), most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = {f: k for k, f in enumerate(signed)}
+    assert joined(len(fps), [(at[r.a], at[r.b]) for r in edges]) == joined(len(fps), near)
+
+
+def test_representatives(spark):
+    rows = [(5, "a b c d e", "k5"), (3, "a b c d e", "k3"), (3, "a b c d e", "k2"), (None, "a b c d e", "k0"), (None, "alone", "k9"), (None, "alone", "k8"), (8, None, "k7"), (9, "", "k6"), (9, "", "k6")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name string, fp int")
+    assert sorted(r.name for r in sh.representatives(docs, "name").collect()) == ["k2", "k7", "k8"]
+    assert sh.representatives(docs.limit(0), "name").count() == 0
 
 
 def vectors(spark, rows):
