@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``. All but the last return
-the columns of documents and drop others. Rows are told apart by a hash of all
-columns, so NULL and repeated ids do no harm; empty tables stay empty.
+the columns of documents and drop others. Rows are told apart by a digest of all
+columns that names the columns, so NULL and repeated ids do no harm; rows that
+are equal in every column are one row to near-dedup and mixing. Empty tables stay
+empty; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    return documents(docs).withColumn("row", F.xxhash64(*COLUMNS))
+    """``row``: SHA-256 of a row. JSON leaves NULL columns out and names the others, so no two rows look alike."""
+    rows = documents(docs)
+    short = [F.sha2("text", 256).alias(c) if c == "text" else F.col(c) for c in COLUMNS]
+    return rows.withColumn("row", F.sha2(F.to_json(F.struct(*short)), 256))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,27 +39,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows that repeat leave one."""
-    rows = documents(docs)
-    name = lambda k: F.concat_ws("|", k, F.col("doc_id").cast("string"))
-    kept = simhash.near_copies(rows).filter("kept").select(F.concat_ws("|", "k", F.col("id").cast("string")).alias("name"))
-    named = rows.withColumn("name", name(F.md5(F.coalesce("text", F.lit("")))))
-    return named.join(kept, "name").dropDuplicates(["name"]).select(*COLUMNS)
+    """One document of each group of near copies (3-word shingles, 2 bits): the one with the smallest id, of several the one with the smallest digest."""
+    rows = with_row(docs)
+    kept = Workspace(spark, "copies").keep(simhash.representatives(rows, "row"), "kept")
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no verified passage of ``benchmark``."""
-    rows = with_row(docs)
+    """Documents that hold no verified passage of ``benchmark``. It depends on the text alone, so its digest names it."""
+    rows = documents(docs).withColumn("name", F.xxhash64(F.sha2("text", 256)))
     ws = Workspace(spark, "leaks")
-    hits = ws.keep(decontamination.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct(), "hits")
-    return rows.join(hits, "row", "left_anti").select(*COLUMNS)
+    hits = ws.keep(decontamination.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="name").select("name").distinct(), "hits")
+    return rows.join(hits, "name", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number."""
+    """Each document a whole number of times, so that every source ends within a document of its target."""
     rows = with_row(docs)
-    taken = mixing.mix(rows, id_col="row").groupBy("row").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
-    copies = taken.select("row", F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("copies")).filter("copies > 0")
+    copies = Workspace(spark, "mix").keep(mixing.copies(rows, "row"), "copies")
     out = rows.join(copies, "row").dropDuplicates(["row"])
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
