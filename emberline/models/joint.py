@@ -40,9 +40,14 @@ DENSE = 1024
 FEW = 256
 #: Levels that are eliminated at once.
 CHUNK = 512
+#: Rows of a system in one line.
+ROWS = 64
+#: Levels in a partition, as long as the session's partitions allow.
+PART = 4096
 
 SUMS, LEVELS, CROSS, SQUARES = 0, 1, 2, 3
-LINES = "kind int, level string, pos int, vals array<double>, u array<double>"
+#: ``data`` holds numbers of a system as bytes, which cross to the workers as they are.
+LINES = "kind int, level string, pos int, vals array<double>, u array<double>, data binary"
 STEP = LINES + ", cols array<int>, weights array<double>"
 
 
@@ -64,6 +69,8 @@ class Layout:
     names: tuple[str, ...]
     factors: tuple[Factor, ...]
     large: str | None
+    #: Levels of the eliminated factor.
+    many: int = 0
 
     @property
     def size(self) -> int:
@@ -170,7 +177,7 @@ def design_of(df: DataFrame, formulas: Sequence[Formula], keep: Sequence[str] =
     design = design.withColumn("codes", F.array(*codes).cast("array<int>") if codes else F.array().cast("array<int>"))
     level = F.col(f"g_{large}") if large else F.lit(None).cast("string")
     design = design.withColumn("level", level).drop(*[f"c_{f.name}" for f in factors])
-    return materialize(design.sortWithinPartitions("level") if large else design, "coded"), Layout(names, tuple(factors), large)
+    return materialize(design.sortWithinPartitions("level") if large else design, "coded"), Layout(names, tuple(factors), large, counts[large] if large else 0)
 
 
 class TooManyLevels(ValueError):
@@ -206,22 +213,19 @@ def _scaled(v: np.ndarray, z: np.ndarray | None) -> np.ndarray:
     return v if z is None else v * z
 
 
-def _ragged(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0), *rows])))
-
-
-def _triangle(kind: int, model: int, matrix: np.ndarray, vector: np.ndarray, scalars: Sequence[float]) -> list[tuple]:
-    """Rows of the lower triangle, each with its entry of the vector behind, and one row of scalars."""
-    out = [(kind, str(model), j, np.append(matrix[j, : j + 1], vector[j])) for j in range(len(vector))]
+def _blocks(kind: int, model: int, matrix: np.ndarray, vector: np.ndarray, scalars: Sequence[float]) -> list[tuple]:
+    """Lines with ROWS rows of the lower triangle each, their entries of the vector behind, and one line of scalars."""
+    n = len(vector)
+    out = [(kind, str(model), j, np.append(matrix[j : j + ROWS, : j + ROWS].ravel(), vector[j : j + ROWS])) for j in range(0, n, ROWS)]
     return [*out, (kind, str(model), -1, np.asarray(scalars, float))]
 
 
 def _batch(rows: list[tuple], wide: bool = False) -> pa.RecordBatch:
     kind, level, pos, vals = (list(c) for c in zip(*rows, strict=True))
     none = pa.nulls(len(rows), pa.list_(pa.float64()))
-    cols = [pa.array(kind, pa.int32()), pa.array(level, pa.string()), pa.array(pos, pa.int32()), _ragged(vals), none]
-    names = ["kind", "level", "pos", "vals", "u"]
+    data = pa.array([np.ascontiguousarray(v, float).tobytes() for v in vals], pa.binary())
+    cols = [pa.array(kind, pa.int32()), pa.array(level, pa.string()), pa.array(pos, pa.int32()), none, none, data]
+    names = ["kind", "level", "pos", "vals", "u", "data"]
     if wide:
         cols += [pa.nulls(len(rows), pa.list_(pa.int32())), none]
         names += ["cols", "weights"]
@@ -268,7 +272,7 @@ def reduce_rows(layout: Layout, models: Sequence[Model], every: int):
                 xs.append(x)
             if coded is not None:
                 yield from _level_lines(coded, xs, slopes, curves, places, u, layout)
-        rows = [r for k in range(len(models)) for r in _triangle(SUMS, k, a[k], b[k], scalars[k])]
+        rows = [r for k in range(len(models)) for r in _blocks(SUMS, k, a[k], b[k], scalars[k])]
         yield _batch(rows)
 
     return run
@@ -304,7 +308,8 @@ def _level_lines(coded, xs, slopes, curves, places, u, layout: Layout):
     for k, (names, pos, vals) in enumerate(out):
         held = _lists(u[first]) if k == 0 else pa.nulls(len(names), pa.list_(pa.float64()))
         kind = pa.array(np.full(len(names), LEVELS, np.int32))
-        yield pa.RecordBatch.from_arrays([kind, names, pa.array(pos.astype(np.int32)), _lists(vals), held], ["kind", "level", "pos", "vals", "u"])
+        none = pa.nulls(len(names), pa.binary())
+        yield pa.RecordBatch.from_arrays([kind, names, pa.array(pos.astype(np.int32)), _lists(vals), held, none], ["kind", "level", "pos", "vals", "u", "data"])
 
 
 def whole_levels(batches):
@@ -344,7 +349,7 @@ def gather_levels(layout: Layout, models: Sequence[Model], every: int):
             kinds, pos = lines.column("kind").to_numpy(), lines.column("pos").to_numpy()
             for k in np.flatnonzero(kinds == SUMS):
                 key = int(lines.column("level")[k].as_py()), int(pos[k])
-                vals = lines.column("vals")[k].values.to_numpy()
+                vals = np.frombuffer(lines.column("data")[k].as_py())
                 sums[key] = sums[key] + vals if key in sums else vals.copy()
             own = lines.filter(pa.array(kinds == LEVELS)).combine_chunks()
             if not own.num_rows:
@@ -383,14 +388,14 @@ def gather_levels(layout: Layout, models: Sequence[Model], every: int):
             bounds = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
             many = (bounds * len(models)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, LEVELS, np.int32)), coded.dictionary, pa.nulls(n, pa.int32()), _lists(main), _lists(u),
+                [pa.array(np.full(n, LEVELS, np.int32)), coded.dictionary, pa.nulls(n, pa.int32()), _lists(main), _lists(u), pa.nulls(n, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(bounds), pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(pa.array(many), pa.array(weights.ravel()))],
-                ["kind", "level", "pos", "vals", "u", "cols", "weights"],
+                ["kind", "level", "pos", "vals", "u", "data", "cols", "weights"],
             )
         rows = [(SUMS, str(k), j, v) for (k, j), v in sums.items()]
         if scalars[:, 0].any():
             for k in range(len(models)):
-                rows += _triangle(CROSS, k, cross[k], right[k], scalars[k]) + _triangle(SQUARES, k, square[k], moved[k], [0.0])
+                rows += _blocks(CROSS, k, cross[k], right[k], scalars[k]) + _blocks(SQUARES, k, square[k], moved[k], [0.0])
         if rows:
             yield _batch(rows, wide=True)
 
@@ -398,31 +403,33 @@ def gather_levels(layout: Layout, models: Sequence[Model], every: int):
 
 
 def add_up(rows: DataFrame) -> dict[tuple[int, int, int], np.ndarray]:
-    """Sums of ``vals`` by (kind, level, pos); as many rows as the systems have columns."""
+    """Sums of ``vals`` by (kind, level, pos), which are as many as the systems have blocks."""
 
     def run(batches):
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             keys = zip(*(_column(batch, c).to_pylist() for c in ("kind", "level", "pos")), strict=True)
             for k, key in enumerate(keys):
-                vals = _column(batch, "vals")[k].values.to_numpy()
-                sums[key] = sums[key] + vals if key in sums else vals.copy()
+                vals = np.frombuffer(_column(batch, "data")[k].as_py())
+                sums[key] = sums[key] + vals if key in sums else vals
         if sums:
             yield _batch([(*key, v) for key, v in sums.items()])
 
-    parts = rows.select("kind", "level", "pos", "vals").repartition("kind", "level", "pos").mapInArrow(run, LINES)
-    table = parts.select("kind", "level", "pos", "vals").toArrow().to_pydict()
+    parts = rows.select("kind", "level", "pos", "data").repartition("kind", "level", "pos").mapInArrow(run, LINES)
+    table = parts.select("kind", "level", "pos", "data").toArrow().to_pydict()
     keys = zip(table["kind"], map(int, table["level"]), table["pos"], strict=True)
-    return {key: np.array(v) for key, v in zip(keys, table["vals"], strict=True)}
+    return {key: np.frombuffer(v) for key, v in zip(keys, table["data"], strict=True)}
 
 
 def _system(sums, kind: int, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symmetric matrix, vector and scalars of one model."""
     a, b = np.zeros((n, n)), np.zeros(n)
-    for j in range(n):
-        if (row := sums.get((kind, k, j))) is not None:
-            a[j, : j + 1] = a[: j + 1, j] = row[:-1]
-            b[j] = row[-1]
+    for j in range(0, n, ROWS):
+        if (line := sums.get((kind, k, j))) is not None:
+            to = min(n, j + ROWS)
+            a[j:to, :to] = line[: (to - j) * to].reshape(to - j, to)
+            b[j:to] = line[(to - j) * to :]
+    a = np.tril(a) + np.tril(a, -1).T
     return a, b, sums.get((kind, k, -1), np.zeros(6))
 
 
@@ -469,7 +476,8 @@ def one_pass(design: DataFrame, layout: Layout, models: Sequence[Model], every:
     if not layout.large:
         return materialize(lines.withColumns({"cols": F.lit(None).cast("array<int>"), "weights": F.lit(None).cast("array<double>")}), "step")
     key = F.when(F.col("kind") == SUMS, F.concat_ws(":", "level", "pos")).otherwise(F.col("level"))
-    met = lines.repartition(F.col("kind"), key).sortWithinPartitions("kind", "level", "pos")
+    parts = max(1, min(int(design.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-layout.many // PART)))
+    met = lines.repartition(parts, F.col("kind"), key).sortWithinPartitions("kind", "level", "pos")
     return materialize(met.mapInArrow(lambda batches: gather_levels(layout, held.value, every)(batches), STEP), "step")
 
 
@@ -568,6 +576,8 @@ def _scale(m: Model, name: str, levels: float, squares: np.ndarray, spread: np.n
     old = np.sqrt(np.diag(cov))
     known = np.maximum(levels - np.diag(spread) / old**2, 1e-8)
     sd = np.array([_scale_mode(n, max(s, 0.0), m.priors.sd, floor) for n, s in zip(known, np.diag(squares), strict=True)])
+    # Where the rows tell next to nothing of the effects, the ratio of successive scales is constant, and below one it ends at none.
+    sd = np.where((known < 0.01 * levels) & (sd < old), floor, sd)
     moments = squares + spread
     root = np.sqrt(np.diag(moments))
     bent = lambda c: np.arctanh(np.clip(c[np.triu_indices(len(c), 1)], -0.999, 0.999))
