@@ -12,7 +12,7 @@ from ..operators.aggregates import count_by, match_rate
 from ..operators.relational import join_metrics, join_rules, time_window
 from ..operators.spatial import burnt_locations, match_locations, prepare_polygons
 from ..session import materialize
-from ..sources.polygons import read_polygons
+from ..sources.polygons import read_polygons, spread
 
 # The study season, both days included.
 WINDOW = ("2019-06-01", "2020-05-31")
@@ -51,7 +51,7 @@ def polygons_in_season(
     the scan.
     """
     season = time_window(polys, "date_day", *window)
-    return prepare_polygons(read_polygons(season, wkt_col))
+    return prepare_polygons(read_polygons(spread(season), wkt_col))
 
 
 def match_survey(base: DataFrame, polys: DataFrame) -> DataFrame:

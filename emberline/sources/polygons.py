@@ -23,6 +23,12 @@ def read_polygons(
     return out.withColumns(bbox("geom"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Raw polygon text over all cores, where its files have fewer splits than these: parsing is the cost, not the text."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def with_point(df: DataFrame, x: Column | str, y: Column | str, crs: str = SINUSOIDAL) -> DataFrame:
     """Add planar coordinates ``x``, ``y`` in metres; all columns stay."""
     if crs == WGS84:

@@ -19,6 +19,11 @@ def _value(v) -> str:
 SQUISH = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 NUM = "regexp_replace(regexp_replace(cast(cast({c} as decimal(28,12)) as varchar), '0+$', ''), '\\.$', '')"
 
+COUNT = """case when unique_project_id in ('UP_030', 'UP_070') then round_even(response_value * survey_effort_traps, 0)
+                    when unique_project_id = 'UP_040' then round_even(response_value * (survey_area / 1000), 0)
+                    when unique_project_id in ('UP_068', 'UP_082') then try_cast(response_variable_text as double)
+                    when unique_project_id = 'UP_069' then response_value * 2 else response_value end"""
+
 # Named stages, each built on those before it.
 STAGES = {
     "obs": OBS,
@@ -62,14 +67,8 @@ STAGES = {
                          case when eligible_fire_speed then cast(date_survey - burn_date as int) end as days_raw
                   from matched0""",
     "ruled": "select o.*, g.include_pa, g.include_abundance, g.response_type from lab o left join rules g using (unique_project_id)",
-    "counted": """select *, case when unique_project_id in ('UP_030', 'UP_070') then round_even(response_value * survey_effort_traps, 0)
-                                 when unique_project_id = 'UP_040' then round_even(response_value * (survey_area / 1000), 0)
-                                 when unique_project_id in ('UP_068', 'UP_082') then try_cast(response_variable_text as double)
-                                 when unique_project_id = 'UP_069' then response_value * 2 else response_value end as response_count from {src}""",
-    "good": """select *, case when unique_project_id in ('UP_068', 'UP_082') then try_cast(response_variable_text as double)
-                                 when unique_project_id in ('UP_030', 'UP_070') then round_even(response_value * survey_effort_traps, 0)
-                                 when unique_project_id = 'UP_040' then round_even(response_value * (survey_area / 1000), 0)
-                                 when unique_project_id = 'UP_069' then response_value * 2 else response_value end as response_count
+    "counted": f"select *, {COUNT} as response_count from ruled",
+    "good": f"""select *, {COUNT} as response_count
                from (select m.*, concat_ws('__', m.unique_project_id, coalesce(site_name, 'NA')) as site_id,
                             case when is_before then 'Before' when burn_status_clean = 'Burnt' then 'After_Burnt' else 'After_Unburnt' end as study_design,
                             g.include_pa, g.include_abundance, g.response_type
@@ -82,7 +81,6 @@ STAGES = {
                  and (not eligible_fire_speed or has_fire_speed)""",
     "pos": """select *, mx_grw_km2 * 100 as g, tot_ar_km2 * 100 as s from fires where mx_grw_km2 * 100 > 0 and tot_ar_km2 * 100 > 0""",
 }
-STAGES["counted"] = STAGES["counted"].replace("{src}", "ruled")
 
 PRESENCE = """case when response_type in ('binary', 'binary_raw') then cast(response_value > 0 as int)
                    else cast(coalesce(response_count > 0, false) as int) end"""
@@ -283,6 +281,10 @@ ORACLES = {
     "nearest_within": with_stages(NEAR, """
         select fired_key, burn_date, fire_id, did, cast(fsr_km2_dy as bigint) as fsr_km2_dy, round_even(dy_ar_km2, 6) as dy_ar_km2, match_type,
                round_even(nearest_dist_m, 6) as nearest_dist_m from near"""),
+    "nearest_any": with_stages(MATCH + " free", """
+        select fired_key, round_even(min(case when dx - dy > r then sqrt((dx - r) * (dx - r) + dy * dy) when dy - dx > r then sqrt(dx * dx + (dy - r) * (dy - r))
+                                              else (dx + dy - r) / sqrt(2) end), 6) as nearest_dist_m
+        from (select fired_key, abs(p.x - q.cx) as dx, abs(p.y - q.cy) as dy, r from free p, season q) as a group by fired_key"""),
     "unmatched": with_stages(MATCH + " free", "select fired_key from free"),
     "union_matches": with_stages(FULL, """
         select fired_key, burn_date, fire_id, did, cast(fsr_km2_dy as bigint) as fsr_km2_dy, round_even(dy_ar_km2, 6) as dy_ar_km2, match_type,

@@ -60,7 +60,7 @@ def layer(spark: SparkSession, sf: str) -> DataFrame:
 def season(spark: SparkSession, sf: str) -> DataFrame:
     raw = rel.time_window(polys(spark, sf), "date_day", *linkage.WINDOW)
     keep = [*spatial.POLYGON_FIELDS, "wkt"]
-    return spatial.prepare_polygons(polygons.read_polygons(raw.select(*keep)))
+    return spatial.prepare_polygons(polygons.read_polygons(polygons.spread(raw.select(*keep))))
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,6 +261,14 @@ def nearest_within(spark, sf):
     return rounded(near, "dy_ar_km2", "nearest_dist_m")
 
 
+@query
+def nearest_any(spark, sf):
+    """How far each location that no polygon contains is from the nearest one, without a bound."""
+    pts, layer_ = points(spark, sf), season(spark, sf)
+    free = materialize(rel.unmatched(pts, spatial.first_burn(pts, layer_)), "free")
+    return rounded(spatial.nearest_polygon(free, layer_).select("fired_key", "nearest_dist_m"), "nearest_dist_m")
+
+
 @query
 def unmatched(spark, sf):
     pts = points(spark, sf)

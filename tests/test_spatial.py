@@ -156,3 +156,22 @@ def test_joins_equal_brute_force_over_mixed_sizes(spark, hot):
         assert (key in near) == (d <= 1000)
         if key in near:
             assert math.isclose(near[key], d, rel_tol=1e-9)
+
+
+def test_nearest_polygon_equals_brute_force_however_far(spark):
+    rng = random.Random(3)
+    rings, rows = [], []
+    for i in range(12):
+        ring, w = ring_wkt(rng, rng.randint(-9000, 9000), rng.randint(-9000, 9000), rng.choice([50, 700]), rng.choice([3, 9]))
+        rings.append(ring)
+        rows.append((w, dt.date(2020, 1, 1) + dt.timedelta(days=i % 3), float(i), None))
+    xy = [(rng.randint(-20000, 20000), rng.randint(-20000, 20000)) for _ in range(80)] + [(400_000, -300_000), (9_000, 2_000_000)]
+    xy = [p for p in xy if not any(covers(ring, *p) for ring in rings)]
+    polys = layer(spark, rows)
+    for start in (10, 1000, 1e7):
+        got = {r["fired_key"]: r for r in spatial.nearest_polygon(points(spark, xy), polys, start_m=start).collect()}
+        assert len(got) == len(xy)
+        for i, (x, y) in enumerate(xy):
+            d = min(seg(*a, *b, x, y) for ring in rings for a, b in zip(ring, ring[1:]))
+            assert math.isclose(got[f"p{i}"]["nearest_dist_m"], d, rel_tol=1e-9) and got[f"p{i}"]["match_type"] == "nearest"
+    assert spatial.nearest_polygon(points(spark, xy), polys.limit(0)).count() == 0
