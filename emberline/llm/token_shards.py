@@ -22,14 +22,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .token_counts import GROUP_BYTES, LONG_PIECE, MEMORY, BeforeSpaces, Encoder, batches_by_bytes
+from .token_counts import GROUP_BYTES, LONG_PIECE, BeforeSpaces, Encoder, batches_by_bytes
 
 MAGIC = b"WMX1"
 BLOCK = 512
 #: Ids that are dealt to both halves of a level at once; they stay in the processor's cache.
 RUN = 1 << 15
 #: Bytes of text encoded at once.
-BATCH = 16_000_000
+BATCH = 8_000_000
+#: Pieces in each of the two generations that a worker remembers; workers outlive their stage, so this is held beside later ones.
+MEMORY = 200_000
 #: A mark behind a letter: the byte-level split always parts them. Only letters that every Unicode version has as letters.
 MARKED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,;:!?|]\\z"
 #: A shard is closed when it holds this many ids; a document is never divided.
