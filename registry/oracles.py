@@ -82,6 +82,11 @@ STAGES = {
     "pos": """select *, mx_grw_km2 * 100 as g, tot_ar_km2 * 100 as s from fires where mx_grw_km2 * 100 > 0 and tot_ar_km2 * 100 > 0""",
 }
 
+# The same with fires attached by place instead of by order number.
+STAGES["linked0"] = "select keyed.*, m.burn_date, m.fsr_km2_dy, m.dy_ar_km2 as dy, m.match_type from keyed left join metrics m on keyed.fired_key = m.fired_key"
+STAGES["linked"] = STAGES["matched"].replace("matched0", "linked0")
+STAGES["clean"] = STAGES["good"].replace("from matched m", "from linked m")
+
 PRESENCE = """case when response_type in ('binary', 'binary_raw') then cast(response_value > 0 as int)
                    else cast(coalesce(response_count > 0, false) as int) end"""
 
@@ -195,17 +200,18 @@ def effort_sql() -> str:
     )
 
 
-def burnt_sql() -> str:
+def burnt_sql(kind: str = "pa") -> str:
     """z-scores over the whole clean table; two of them again over the burnt rows."""
     sev = "fire_severity_clean"
+    y, own = (PRESENCE, "y is not null") if kind == "pa" else ("cast(round_even(response_count, 0) as int)", "y >= 0")
     return with_stages(
         DONE,
-        f""", m as (select *, {PRESENCE} as y,
+        f""", m as (select *, {y} as y,
                       {z('ln(case when eligible_fire_speed and fire_speed > 0 then fire_speed end)')} as fire_speed_z,
                       {z('ln(1 + case when eligible_fire_speed then greatest(days_raw, 0) end)')} as days_since_fire_z,
                       coalesce(broad_taxon, '') as bt from good),
              c as (select *, count(*) over (partition by broad_taxon) as nt from m
-                   where include_pa and y is not null and species is not null and broad_taxon is not null and ecosystem_group is not null),
+                   where include_{kind} and {own} and species is not null and broad_taxon is not null and ecosystem_group is not null),
              b as (select *, case {sev} when 'Low (burnt understory, unburnt canopy)' then 1 when 'Moderate (partial canopy scorch)' then 2
                                     when 'High (full canopy scorch)' then 3 when 'Extreme (full canopy consumption)' then 4 end as code
                    from c where study_design = 'After_Burnt' and fire_speed_z is not null and days_since_fire_z is not null)
@@ -418,6 +424,21 @@ ORACLES = {
     "abundance_table": with_stages(DONE, """
         select row_ord, site_id, study_design, round_even(response_count, 0) as model_response from good where include_abundance"""),
     "burnt_tables": burnt_sql(),
+    "burnt_tables_abundance": burnt_sql("abundance"),
+    "master": with_stages(FULL + " linked0 linked", """
+        select row_ord, concat_ws('__', unique_project_id, coalesce(site_name, 'NA')) as site_id,
+               case when is_before then 'Before' when burn_status_clean = 'Burnt' then 'After_Burnt' else 'After_Unburnt' end as study_design,
+               match_type, round_even(fire_speed, 6) as fire_speed, has_fire_speed, case when days_raw < 0 then 0 else days_raw end as days_since_fire,
+               case when not eligible_fire_speed then 'Control_or_before' when days_raw < 0 then 'Near_fire_date' when days_raw = 0 then 'DayOf'
+                    when days_raw > 0 then 'After' end as timing_rel_fire from linked where burn_status_clean is not null"""),
+    "model_tables": with_stages(FULL + " linked0 linked rules clean", f"""
+        select row_ord, 'pa' as kind, study_design, cast({PRESENCE} as double) as model_response from clean where include_pa
+        union all select row_ord, 'abundance', study_design, cast(round_even(response_count, 0) as double) from clean where include_abundance"""),
+    "match_summary": with_stages(FULL, """
+        select unique_project_id, count(*) as n_eligible_burnt_locations, count(fire_speed) as n_matched,
+               round_even(count(fire_speed) / cast(count(*) as double), 6) as match_rate
+        from (select distinct k.fired_key, k.unique_project_id, m.dy_ar_km2 as fire_speed from keyed k left join metrics m on k.fired_key = m.fired_key
+              where k.eligible_fire_speed) as a group by 1"""),
     "parse_dates": with_stages("obs", """
         select row_ord, date_text, cast(coalesce(try_strptime(date_text, '%m/%d/%Y'), try_strptime(date_text, '%d/%m/%Y'), try_strptime(date_text, '%Y-%m-%d')) as date) as day from obs"""),
     "days_since": with_stages("obs polys lab st keyed matched0 matched", """

@@ -616,6 +616,43 @@ def abundance_table(spark, sf):
     )
 
 
+def whole_path(spark, sf):
+    """The result tables with fires attached by place: cleaned survey and polygon layer in, six tables out."""
+    base = materialize(keyed(spark, sf), "survey")
+    return linkage.model_tables(base, season(spark, sf), rules.project_rules(spark))
+
+
+@query
+def master(spark, sf):
+    """Every survey row with its fire by containment or nearness, gated, timed and with its design."""
+    out = whole_path(spark, sf).master
+    return rounded(out, "fire_speed").select("row_ord", "site_id", "study_design", "match_type", "fire_speed", "has_fire_speed", "days_since_fire", "timing_rel_fire")
+
+
+@query
+def model_tables(spark, sf):
+    """Presence and abundance model tables of the whole path, one below the other."""
+    tables_ = whole_path(spark, sf)
+    one = lambda df, kind: df.select("row_ord", F.lit(kind).alias("kind"), "study_design", F.col("model_response").cast("double").alias("model_response"))
+    return one(tables_.pa, "pa").unionByName(one(tables_.abundance, "abundance"))
+
+
+@query
+def match_summary(spark, sf):
+    return rounded(whole_path(spark, sf).match_summary, "match_rate")
+
+
+@query
+def burnt_tables_abundance(spark, sf):
+    clean = materialize(responses(spark, sf), "clean")
+    table = survey.abundance_table(survey.model_columns(clean))
+    _, burnt = linkage.burnt_tables(table, "abundance")
+    return burnt.select(
+        "row_ord", "model_response", "fire_severity_code", "broad_taxon",
+        *[r(c).alias(c) for c in ("fire_speed_z", "days_since_fire_z", "unburnt5_z", "drought_spi_z")],
+    )
+
+
 @query
 def burnt_tables(spark, sf):
     clean = materialize(responses(spark, sf), "clean")
