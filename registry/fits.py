@@ -121,8 +121,10 @@ def grid_loo(spark, sf):
     """The burnt presence models fitted, scored by leaving rows out, stored, and ranked on the rows that all of them use."""
     names = ["pa_m2", "pa_m3", "pa_m4", "pa_m4_1", "pa_m5", "pa_m6", "pa_m7"]
     burnt = model_data(spark, sf)["pa_burnt"].filter(F.col("no_fires_model").isNotNull())
-    fits = grid.fit_grid([grid.MODELS[n] for n in names], {"pa_burnt": burnt}, keep=["row_ord"])
-    return compare.loo_compare(grid.grid_scores(fits, "row_ord", scratch_path(spark, "loo")))
+    # Stored, so the numbers stay.
+    burnt = materialize(burnt.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    fits = grid.fit_grid([grid.MODELS[n] for n in names], {"pa_burnt": burnt}, keep=["row_id"])
+    return compare.loo_compare(grid.grid_scores(fits, "row_id", scratch_path(spark, "loo")))
 
 
 @query
