@@ -22,16 +22,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .token_counts import GROUP_BYTES, LONG_PIECE, BeforeSpaces, Encoder, batches_by_bytes
+from .token_counts import GROUP_BYTES, LONG_PIECE, MEMORY, BeforeSpaces, Encoder, batches_by_bytes
 
 MAGIC = b"WMX1"
 BLOCK = 512
 #: Ids that are dealt to both halves of a level at once; they stay in the processor's cache.
 RUN = 1 << 15
 #: Bytes of text encoded at once.
-BATCH = 8_000_000
-#: Pieces in each of the two generations that a worker remembers; workers outlive their stage, so this is held beside later ones.
-MEMORY = 200_000
+BATCH = 16_000_000
 #: A mark behind a letter: the byte-level split always parts them. Only letters that every Unicode version has as letters.
 MARKED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,;:!?|]\\z"
 #: A shard is closed when it holds this many ids; a document is never divided.
@@ -58,6 +56,13 @@ class Coder:
             cls._made[path, code] = cls(path, code)
         return cls._made[path, code]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Workers outlive their stage; what they remember must not stand beside later ones."""
+        for coder in cls._made.values():
+            coder.young, coder.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
@@ -327,6 +332,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
 
     def run(batches):
+        # All texts are encoded by now.
+        Coder.forget()
         for batch in batches:
             for part, seq, data in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
                 shard = Shard(data.as_py())
