@@ -175,3 +175,55 @@ def test_nearest_polygon_equals_brute_force_however_far(spark):
             d = min(seg(*a, *b, x, y) for ring in rings for a, b in zip(ring, ring[1:]))
             assert math.isclose(got[f"p{i}"]["nearest_dist_m"], d, rel_tol=1e-9) and got[f"p{i}"]["match_type"] == "nearest"
     assert spatial.nearest_polygon(points(spark, xy), polys.limit(0)).count() == 0
+
+
+def plan_rows(spark, df):
+    """The plan that runs, with the final one of adaptive execution left out."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_not_dealt_again_after_the_cell_join(spark):
+    box = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))"
+    polys = layer(spark, [(box, dt.date(2020, 1, 1), 1.0, 1.0)])
+    plan = plan_rows(spark, spatial.pip_join(points(spark, [(5, 5)]), polys))
+    above = plan.split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_first_burn_meets_few_pairs_where_polygons_lie_deep(spark, monkeypatch):
+    """300 squares over each point, in rounds and in one go; repeated and missing keys end in one row."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        x, y = (i % 3) * 1000 + rng.randint(-5, 5), rng.randint(-5, 5)
+        wkt = f"POLYGON (({x} {y}, {x + 100} {y}, {x + 100} {y + 100}, {x} {y + 100}, {x} {y}))"
+        day = dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 3)) if i % 50 else None
+        rows.append((wkt, day, rng.choice([None, 1.0, 2.0]), rng.choice([None, 5.0, 6.0])))
+    polys = layer(spark, rows)
+    data = [(f"p{i % 40}" if i % 9 else None, float((i % 4) * 1000 + rng.randint(-6, 106)), float(rng.randint(-6, 106))) for i in range(60)]
+    pts = spark.createDataFrame([*data, ("nowhere", None, 1.0)], "fired_key string, x double, y double")
+    met, pairs = [], spatial.pip_join
+
+    def counted(*args, **how):
+        found = pairs(*args, **how)
+        met.append(found.count())
+        return found
+
+    whole = pairs(pts, polys)
+    want = {tuple(r) for r in spatial.first_burn(pts, polys, pairs=whole).collect()}
+    monkeypatch.setattr(spatial, "pip_join", counted)
+    got = spatial.first_burn(pts, polys).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert len(met) > 2 and sum(met) * 4 < whole.count()
+
+
+def test_polygons_of_many_and_of_few_edges_meet_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    rings = [ring_wkt(rng, rng.randint(-900, 900), rng.randint(-900, 900), 700, n) for n in (3, 8, 9, 40, 64, 65, 200)]
+    polys = layer(spark, [(w, dt.date(2020, 1, 1), 1.0, 1.0) for _, w in rings])
+    xy = [(rng.randint(-1500, 1500), rng.randint(-1500, 1500)) for _ in range(200)] + [ring[1] for ring, _ in rings]
+    want = {(f"p{i}", j) for i, (x, y) in enumerate(xy) for j, (ring, _) in enumerate(rings) if covers(ring, x, y)}
+    for listed in (spatial.LISTED, 0, 10**6):
+        monkeypatch.setattr(spatial, "LISTED", listed)
+        got = {(r["fired_key"], r["poly_ord"]) for r in spatial.pip_join(points(spark, xy), polys, cell_m=300).collect()}
+        assert got == want
