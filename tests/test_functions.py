@@ -142,3 +142,17 @@ def test_text_rules_drop_missing_only_where_they_apply(spark):
     df = df.withColumns({"include_pa": F.lit(True), "include_abundance": F.lit(True)})
     kept = [(r[0], r[1]) for r in survey.rule_filter(df).select("unique_project_id", "response_variable_text").collect()]
     assert kept == [("UP_008", "ALIVE trees"), ("UP_006", None)]
+
+
+def test_dates_are_tried_only_by_patterns_of_their_shape(spark):
+    """A pattern that cannot fit costs an exception a row; the odd texts give what trying all of them gave."""
+    from emberline.functions import dates
+
+    for order, patterns in dates.ORDERS.items():
+        text = dates.parse_date("t", [order])._jc.toString()
+        assert text.count("rlike(x") >= len(patterns)
+    texts = ["1015 0030", "-20200102", "(2020/1/2", "12th January 2020", "5-jan-70", "unknown", "2/30/2020", "13/2/2020", "001/002/2020", "12345-1-2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(dates.parse_date("t").cast("string")).collect()]
+    assert got == ["-0030-10-15", "-2020-01-02", "-2020-01-02", "2020-01-12", "1970-01-05", None, None, "2020-02-13", "2020-01-02", None]
+    assert dates.trained_order(df.limit(1), "t")[0] == "mdy"
