@@ -43,3 +43,15 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["burnt_tables", "burnt_tables_abundance"])
+def test_burnt_tables_store_no_column_that_nothing_reads(spark, sf_dir, name, monkeypatch):
+    from registry import queries
+
+    stored = {}
+    monkeypatch.setattr(queries, "materialize", lambda df, what="table": stored.setdefault(what, df))
+    entry.queries()[name](spark, sf_dir)
+    unread = {"fired_key", "latitude", "longitude", "x", "y", "date_text", "before_after", "project_name"}
+    assert {"survey", "clean"} <= set(stored)
+    assert all(unread.isdisjoint(df.columns) for df in stored.values())
