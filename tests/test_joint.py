@@ -241,3 +241,54 @@ def test_predictive_check_of_a_gaussian_fit(spark):
     assert set(totals.values()) == {300} and len({r["value"] for r in rows if r["draw"] == 0}) > 20
     mean = lambda d: sum(r["value"] * r["n"] for r in rows if r["draw"] == d) / 300
     assert all(abs(mean(d) - mean(0)) < 0.5 for d in range(1, 6))
+
+
+def noise(spark, n=8000, levels=60, seed=4):
+    """Rows whose levels differ by little more than chance, on one numeric column."""
+    rng = np.random.default_rng(seed)
+    x, code = rng.integers(-24, 26, n) / 10, rng.integers(0, levels, n)
+    both = rng.normal(0, 0.12, levels)
+    y = 5.3 + both[code] * (1 + 0.4 * x) + 3 * rng.normal(size=n)
+    rows = [(float(a), float(b), f"g{c}") for a, b, c in zip(y, x, code, strict=True)]
+    return spark.createDataFrame(rows, "y double, x double, g string").repartition(4), y, x, code
+
+
+@pytest.mark.parametrize("dense", [1024, 0])
+def test_weak_correlated_scales_settle_at_the_mode_from_one_scan(spark, monkeypatch, dense):
+    """Steps by fixed points crept towards a correlation of one and did not settle."""
+    monkeypatch.setattr(joint, "DENSE", dense)
+    scans = []
+    one_pass, step = joint.one_pass, m._step
+    monkeypatch.setattr(joint, "one_pass", lambda *a: scans.append(1) or one_pass(*a))
+    monkeypatch.setattr(m, "_step", lambda *a: scans.append(1) or step(*a))
+    df, y, x, code = noise(spark)
+    f = m.fit(df, Formula("y", ["x"], groups=("g",), slopes={"g": "x"}), "gaussian", m.Priors(b=0.5, intercept=1.0, intercept_df=None))
+    assert f.converged and (f.joint is None) == (dense == 0) and len(scans) == (dense > 0)
+    design, z = np.column_stack([np.ones(len(y)), x]), np.zeros((len(y), 120))
+    z[np.arange(len(y)), 2 * code], z[np.arange(len(y)), 2 * code + 1] = 1, x
+    place = np.array([1.0, x.mean()])
+    penalty = np.diag([0, 4.0]) + np.outer(place, place)
+
+    def density(cov, sigma):
+        """Log marginal with the coefficients at their mode, or summed over as well, and the log prior of the scales."""
+        full = np.hstack([design, z])
+        prior = np.zeros((122, 122))
+        prior[:2, :2], prior[2:, 2:] = penalty, np.kron(np.eye(60), np.linalg.inv(cov))
+        h = full.T @ full / sigma**2 + prior
+        t = np.linalg.solve(h, full.T @ y / sigma**2)
+        log = -len(y) * np.log(sigma) - 0.5 * ((y - full @ t) ** 2).sum() / sigma**2 - 0.5 * t @ prior @ t - 30 * np.linalg.slogdet(cov)[1]
+        log -= 0.5 * np.linalg.slogdet(h if dense else h[2:, 2:])[1]
+        return log - np.sqrt(np.diag(cov)).sum() - sigma, t
+
+    cov, sigma = f.group_cov["g"], f.shape
+    best, t = density(cov, sigma)
+    assert np.allclose(f.beta, t[:2], atol=1e-6)
+    got = {(r["level"], r["coef"]): r["estimate"] for r in m.ranef(f, "g").collect()}
+    assert all(got[f"g{k}", c] == pytest.approx(t[2 + 2 * k + i], abs=1e-6) for k in range(60) for i, c in enumerate(("Intercept", "x")))
+    root = np.linalg.cholesky(cov)
+    for i, j in ((0, 0), (1, 0), (1, 1)):
+        for way in (0.9, 1.1):
+            other = root.copy()
+            other[i, j] *= way
+            assert density(other @ other.T + 1e-12 * np.eye(2), sigma)[0] < best or np.linalg.eigvalsh(other @ other.T)[0] < 1e-5
+    assert max(density(cov, sigma * way)[0] for way in (0.999, 1.001)) < best
