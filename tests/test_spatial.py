@@ -227,3 +227,25 @@ def test_polygons_of_many_and_of_few_edges_meet_alike(spark, monkeypatch):
         monkeypatch.setattr(spatial, "LISTED", listed)
         got = {(r["fired_key"], r["poly_ord"]) for r in spatial.pip_join(points(spark, xy), polys, cell_m=300).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("sizes,twice,hot", [((1,), False, 200_000), ((1, 40), False, 200_000), ((1,), True, 200_000), ((1,), False, 20)])
+def test_best_polygon_of_a_day_is_found_in_its_cell(spark, sizes, twice, hot):
+    """Ranked where the join met them, pairs are dealt again only if a location may be in several cells."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        cx, cy, r = rng.randrange(60), rng.randrange(60), rng.randrange(2, 9) * rng.choice(sizes)
+        wkt = f"POLYGON (({cx + r} {cy}, {cx} {cy + r}, {cx - r} {cy}, {cx} {cy - r}, {cx + r} {cy}))"
+        rows.append((wkt, dt.date(2020, 1, rng.randrange(1, 8)), rng.choice([None, 1.0, 2.0]), rng.choice([None, 3.0, 4.0])))
+    polys, pts = layer(spark, rows), points(spark, [(rng.randrange(60), rng.randrange(60)) for _ in range(120)])
+    if twice:
+        pts = pts.withColumn("fired_key", F.when(F.col("fired_key") != "p7", F.concat(F.lit("k"), F.substring("fired_key", 2, 1))))
+    plain = spatial.pip_best(spatial.pip_join(pts, polys, cell_m=10, hot_rows=hot))
+    pairs = spatial.pip_join(pts, polys, cell_m=10, hot_rows=hot, cells=True)
+    best = spatial.pip_best(pairs)
+    assert best.columns == plain.columns and best.count() > 50
+    assert sorted(map(repr, best.collect())) == sorted(map(repr, plain.collect()))
+    alone = len(sizes) == 1 and not twice and hot > 20
+    assert pairs.one_cell == alone
+    assert ("hashpartitioning(fired_key" in best._jdf.queryExecution().executedPlan().toString()) == (not alone)
