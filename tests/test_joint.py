@@ -292,3 +292,30 @@ def test_weak_correlated_scales_settle_at_the_mode_from_one_scan(spark, monkeypa
             other[i, j] *= way
             assert density(other @ other.T + 1e-12 * np.eye(2), sigma)[0] < best or np.linalg.eigvalsh(other @ other.T)[0] < 1e-5
     assert max(density(cov, sigma * way)[0] for way in (0.999, 1.001)) < best
+
+
+def test_scans_read_for_the_last_time_are_deleted(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(joint, "FEW", 10)
+    stored, keep = [], joint.materialize
+    monkeypatch.setattr(joint, "materialize", lambda df, name="table": stored.append((name, keep(df, name))) or stored[-1][1])
+    tasks = [joint.Task(str(terms), Formula("y", terms, groups=("a", "b"))) for terms in (["x"], ["x", "z"])]
+    fits = joint.fit_together(frame(spark, sample()), tasks, ["i"])
+    left = [name for name, df in stored if os.path.exists(df.stored_at.removeprefix("file:"))]
+    assert [name for name, _ in stored].count("step") > 4
+    assert left.count("step") <= 1 and left.count("step") + left.count("settled") <= 2
+    assert "design" not in left
+    # What is left serves effects and draws of both models.
+    for f in fits.values():
+        assert f.effects["a"].count() == f.design.select("g_a").distinct().count()
+        assert compare.loo(m.pointwise(f, "i", 20)).count() == f.design.count()
+
+
+def test_draws_of_levels_are_not_dealt(spark, monkeypatch):
+    monkeypatch.setattr(joint, "FEW", 10)
+    f = joint.fit_together(frame(spark, sample()), [joint.Task("m", Formula("y", ["x"], groups=("a", "b")))])["m"]
+    rows, _ = joint.predictor_rows(f.joint, 50, 1)
+    assert "ub" not in rows.columns
+    wide = max(len(r["vals"]) + len(r["cols"]) + len(r["weights"]) for r in rows.collect())
+    assert wide < 50
