@@ -249,3 +249,41 @@ def test_best_polygon_of_a_day_is_found_in_its_cell(spark, sizes, twice, hot):
     alone = len(sizes) == 1 and not twice and hot > 20
     assert pairs.one_cell == alone
     assert ("hashpartitioning(fired_key" in best._jdf.queryExecution().executedPlan().toString()) == (not alone)
+
+
+@pytest.mark.parametrize("ties", [0, 5])
+def test_best_polygon_of_a_day_deals_only_keys_of_several_points_again(spark, ties, monkeypatch):
+    """Cells are dealt once; what was met in them is ranked there, whatever other keys need."""
+    monkeypatch.setattr(spatial, "PAIRS_PER_TASK", 500)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        cx, cy, r = rng.randrange(60), rng.randrange(60), rng.randrange(2, 9)
+        wkt = f"POLYGON (({cx + r} {cy}, {cx} {cy + r}, {cx - r} {cy}, {cx} {cy - r}, {cx + r} {cy}))"
+        rows.append((wkt, dt.date(2020, 1, rng.randrange(1, 5)), rng.choice([None, 1.0, 2.0]), 3.0))
+    polys, pts = layer(spark, rows), points(spark, [(rng.randrange(60), rng.randrange(60)) for _ in range(150)])
+    names = F.substring("fired_key", 2, 4).cast("int")
+    # Keys that stand for several points: one that is missing, and one that is not.
+    key = F.when(names < ties, F.lit(None)).when(names < 2 * ties, F.lit("twice")).otherwise(F.col("fired_key"))
+    pts = pts.withColumn("fired_key", key)
+    want = spatial.pip_best(spatial.pip_join(pts, polys, cell_m=10))
+    best = spatial.pip_best(spatial.pip_join(pts, polys, cell_m=10, cells=True))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in dealt if "date_day" in line]) == (1 if ties else 0)
+    assert sorted(map(repr, best.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_few_edges_are_judged_in_a_compiled_join(spark):
+    """The join's code stays under the limit over which it is not compiled."""
+    rows = [(f"POLYGON (({i} 0, {i + 9} 0, {i + 9} 9, {i} 9, {i} 0))", dt.date(2020, 1, 1), 1.0, 1.0) for i in range(20)]
+    triangle = ("POLYGON ((0 0, 9 0, 0 9, 0 0))", dt.date(2020, 1, 1), 1.0, 1.0)
+    pts = points(spark, [(x, y) for x in (0, 1, 4.5, 9, 28, 28.5) for y in (0, 4.5, 9, 9.5)])
+    pairs = spatial.pip_join(pts, layer(spark, [*rows, triangle]), cell_m=4)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("lambda" not in line for line in joins)
+    got = {(r["fired_key"], r["poly_ord"]) for r in pairs.collect()}
+    xy = {r["fired_key"]: (r["x"], r["y"]) for r in pts.collect()}
+    square = {(k, i) for k, (x, y) in xy.items() for i in range(20) if i <= x <= i + 9 and 0 <= y <= 9}
+    assert got == square | {(k, 20) for k, (x, y) in xy.items() if x + y <= 9}
